@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinora.llm import bpe, toxicity
+from kinora.llm import bpe, decontaminate, language, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,11 +30,43 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+@registered("op1_decontaminate")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op1_decontaminate"] = r"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+s AS (SELECT item, w, least(13, len(w)) size, unnest(range(1, len(w) - least(13, len(w)) + 2)) at FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, size, array_to_string(w[at:at + size - 1], ' ') phrase FROM s),
+d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w FROM documents),
+p AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) at FROM d, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size),
+hits AS (SELECT p.doc_id, p.at, p.size, windows.item FROM p JOIN windows ON windows.size = p.size AND windows.phrase = array_to_string(p.w[p.at:p.at + p.size - 1], ' ')),
+covered AS (SELECT doc_id, count(DISTINCT word) n_hit FROM (SELECT doc_id, unnest(range(at, at + size)) word FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(names, '')) items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 @registered("op2_toxicity")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@registered("op5_language")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 @registered("op7_bpe")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, folder, "documents"), vocabulary_path())
+
+
+@registered("op10_secrets")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return secrets.scan(docs, secrets.learn(docs))
