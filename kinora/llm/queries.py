@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinora.llm import bpe, decontaminate, language, secrets, toxicity
+from kinora.llm import bpe, decontaminate, language, secrets, similar, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +55,25 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@registered("op3_jaccard_join")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return similar.similar_groups(table(spark, folder, "documents"), size=4, percent=85)
+
+
+ORACLES["op3_jaccard_join"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 0) + 2)) at FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[at:at + 3], ' ') shingle FROM p),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id x, b.doc_id y, count(*) both FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both >= 85 * (a.n + b.n - both)),
+both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
+SELECT doc_id, coalesce(n, 0) n_shingles, least(doc_id, coalesce(component, doc_id)) component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x doc_id, min(y) component FROM reach GROUP BY x) USING (doc_id)
+"""
+
+
 @registered("op5_language")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
