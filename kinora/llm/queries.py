@@ -37,12 +37,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLES["op1_decontaminate"] = r"""
 WITH b AS (SELECT CAST(item_id AS VARCHAR) item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
-s AS (SELECT item, w, least(13, len(w)) size, unnest(range(1, len(w) - least(13, len(w)) + 2)) at FROM b WHERE len(w) > 0),
-windows AS (SELECT DISTINCT item, size, array_to_string(w[at:at + size - 1], ' ') phrase FROM s),
+s AS (SELECT item, w, least(13, len(w)) size, unnest(range(1, len(w) - least(13, len(w)) + 2)) pos FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, size, array_to_string(w[pos:pos + size - 1], ' ') phrase FROM s),
 d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w FROM documents),
-p AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) at FROM d, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size),
-hits AS (SELECT p.doc_id, p.at, p.size, windows.item FROM p JOIN windows ON windows.size = p.size AND windows.phrase = array_to_string(p.w[p.at:p.at + p.size - 1], ' ')),
-covered AS (SELECT doc_id, count(DISTINCT word) n_hit FROM (SELECT doc_id, unnest(range(at, at + size)) word FROM hits) GROUP BY doc_id),
+p AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) pos FROM d, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size),
+hits AS (SELECT p.doc_id, p.pos, p.size, windows.item FROM p JOIN windows ON windows.size = p.size AND windows.phrase = array_to_string(p.w[p.pos:p.pos + p.size - 1], ' ')),
+covered AS (SELECT doc_id, count(DISTINCT word) n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) word FROM hits) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(names, '')) items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) contaminated
@@ -62,11 +62,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLES["op3_jaccard_join"] = r"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) w FROM documents),
-p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 0) + 2)) at FROM d WHERE len(w) > 0),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[at:at + 3], ' ') shingle FROM p),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 0) + 2)) pos FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[pos:pos + 3], ' ') shingle FROM p),
 n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
-common AS (SELECT a.doc_id x, b.doc_id y, count(*) both FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
-links AS (SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both >= 85 * (a.n + b.n - both)),
+common AS (SELECT a.doc_id x, b.doc_id y, count(*) inter FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * inter >= 85 * (a.n + b.n - inter)),
 both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
 reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
 SELECT doc_id, coalesce(n, 0) n_shingles, least(doc_id, coalesce(component, doc_id)) component_id
