@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinora.llm import bpe, decontaminate, language, secrets, similar, toxicity
+from kinora.llm import bpe, chat, decontaminate, language, secrets, similar, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,17 +74,60 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x doc_id, min(y) component F
 """
 
 
+@registered("op4_warc")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
+ORACLES["op4_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) n, sha256(coalesce(html, '')) digest FROM pages),
+equal AS (SELECT digest, min(page_id) first FROM p WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n payload_bytes, digest payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END record_type,
+  CASE WHEN first <> page_id THEN first END refers_to
+FROM p LEFT JOIN equal USING (digest)
+"""
+
+
 @registered("op5_language")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return language.identify(docs, language.fit(docs))
 
 
+#: Fixed by the contract of op6: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@registered("op6_url_filter")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"), URL_RULES)
+
+
 @registered("op7_bpe")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, folder, "documents"), vocabulary_path())
 
 
+@registered("op9_chat")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.perspectives(table(spark, folder, "conversations"))
+
+
+ORACLES["op9_chat"] = """
+WITH t AS (SELECT conv_id, coalesce(turn // 512, -1) part, turn, role, text said FROM conversations),
+s AS (SELECT DISTINCT conv_id, role speaker FROM t WHERE role <> 'system'),
+r AS (SELECT t.*, speaker, coalesce(role = speaker, false) mine,
+  '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN role WHEN role IS NULL THEN 'user' ELSE 'user name=' || replace(role, '<|', '< |') END || chr(10) head,
+  replace(coalesce(said, ''), '<|', '< |') || '<|im_end|>' body FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+o AS (SELECT *, row_number() OVER w place, sum(length(head) + length(body) + 1) OVER w - length(body) - 1 a FROM r
+  WINDOW w AS (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role NULLS FIRST, said NULLS FIRST ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, speaker, CAST(part AS BIGINT) part, count(*) n_turns, string_agg(head || body || chr(10), '' ORDER BY place) AS text,
+  coalesce(string_agg(CAST(a AS BIGINT) || ':' || CAST(a + length(body) AS BIGINT), ',' ORDER BY place) FILTER (WHERE mine), '') mask,
+  CAST(coalesce(sum(length(body)) FILTER (WHERE mine), 0) AS BIGINT) n_learned
+FROM o GROUP BY conv_id, speaker, part
+"""
+
+
 @registered("op10_secrets")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
