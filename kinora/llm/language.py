@@ -102,7 +102,10 @@ def remainder(column: str = "doc_id"):
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, profile: int = PROFILE) -> Filter:
     """Learn from at most ``sample_rows`` rows per language, in the order of a hash of the id."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (remainder() != 2))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))  # a row per language, as the model has anyway
+    share = F.lit(1.5 * sample_rows) / F.col("_rows") * (1 << 30)  # a few more than are needed, so no task gets a whole language
+    known = known.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= share)
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
     chosen = known.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= sample_rows).select("doc_id", "lang").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
 
