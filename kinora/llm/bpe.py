@@ -337,14 +337,11 @@ def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
     return tokens.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, text binary")
 
 
-def round_trip_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """Encode and decode each text in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256.
-
-    Nothing is shuffled and only digests leave the task, so tokens of long texts are never held twice.
-    """
+def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """Encode and decode each text in one pass: doc_id, n_tokens, token_ids, ids_sha256, decoded_sha256."""
     table = _shared(docs, ranks_path)
     kept = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(table)
@@ -354,6 +351,7 @@ def round_trip_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
                 packed, cuts = ids.tobytes(), (4 * offsets).tolist()
                 coded = [hashlib.sha256(packed[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:])]
                 decoded = [hashlib.sha256(x).hexdigest() for x in bpe.decode_batch(ids, offsets)]
-                yield record(schema, part.column("doc_id"), np.diff(offsets), coded, decoded)
+                tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
+                yield record(schema, part.column("doc_id"), np.diff(offsets), tokens, coded, decoded)
 
-    return kept.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return kept.mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string")

@@ -31,6 +31,8 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 #: Words of a segment (a longer document is a segment of its own), and of a block of the test set.
 SEGMENT_WORDS, BLOCK_WORDS = 1 << 19, 1 << 18
 WINDOW = 13
+#: Rows that a broadcast table may have; beyond that the join shuffles.
+BROADCAST_ROWS = 1_000_000
 INDEX = "segment long, doc_ids array<long>, starts array<int>, lengths array<int>, terms string, ends binary, postings binary"
 
 
@@ -267,6 +269,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is not a contaminated document's; rows without an id stay."""
+    gone = stored(decontaminate(docs, benchmark).where("contaminated and doc_id is not null").select("doc_id").distinct(), "contaminated")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def phrases_of(texts: Iterable[str]) -> dict[str, list[str]]:
     """Queries for ``find_near`` named by their text."""
     return {t: words(t) for t in texts}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinora.llm import bpe, chat, decontaminate, language, secrets, similar, toxicity, urls, warc
+from kinora.llm import bpe, chat, decontaminate, forest, language, secrets, similar, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,7 +105,24 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered("op7_bpe")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.round_trip_digests(table(spark, folder, "documents"), vocabulary_path())
+    return bpe.round_trip(table(spark, folder, "documents"), vocabulary_path()).drop("token_ids")
+
+
+@registered("op8_embeddings")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, folder, "embeddings"))
+
+
+ORACLES["op8_embeddings"] = """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) v FROM embeddings),
+good AS (SELECT * FROM e WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id x, b.vec_id y FROM good a JOIN good b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+n AS (SELECT x vec_id, count(*) n FROM links GROUP BY x),
+c AS (SELECT x vec_id, min(y) component FROM reach GROUP BY x)
+SELECT vec_id, coalesce(n, 0) n_links, least(vec_id, coalesce(component, vec_id)) component_id, vec_id = least(vec_id, coalesce(component, vec_id)) kept
+FROM e LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
 
 
 @registered("op9_chat")

@@ -401,3 +401,15 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, small: int
     named = stored(named, "named")
     out = joined_by_size(found.select("doc_id", "n_shingles"), named, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their group, one row per id; rows without an id stay."""
+    found = similar_groups(docs, size, percent)
+    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    kept = joined_by_size(docs, gone, "doc_id", "left_anti")
+    repeated = stored(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    several = joined_by_size(kept, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return joined_by_size(kept, repeated, "doc_id", "left_anti").unionByName(several)

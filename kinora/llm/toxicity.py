@@ -100,30 +100,58 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pass
     return rows.repartition(1).mapInArrow(learn, "bucket long, weight double")
 
 
-def score(docs: DataFrame, weights: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, score, predicted, n_words_learned (distinct weighted features found)."""
+class Scorer:
+    """The model as a task holds it: all weights by bucket."""
+
+    def __init__(self, bucket: np.ndarray, weight: np.ndarray):
+        self.table = np.zeros((1 << BITS) + 1)
+        self.table[bucket] = weight
+        self.light = (self.table != 0)[: 1 << BITS]
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities, and how many distinct weighted features each text has."""
+        _, points, offsets = code_points(texts)
+        bucket, text = gram_features(points, offsets, BITS)
+        hit = self.light[bucket]
+        pairs = np.unique(text[hit] << BITS | bucket[hit])
+        text, bucket = pairs >> BITS, pairs & ((1 << BITS) - 1)
+        total = self.table[-1] + np.bincount(text, weights=self.table[bucket], minlength=len(texts))
+        return 1 / (1 + np.exp(-np.clip(total, -35, 35))), np.bincount(text, minlength=len(texts))
+
+
+def _shared(weights: DataFrame):
     model = weights.toArrow()  # L1 leaves few; 2**BITS + 1 rows at most
-    bound = docs.sparkSession.sparkContext.broadcast((model.column("bucket").to_numpy().astype(np.int32), model.column("weight").to_numpy().astype(np.float64)))
+    return weights.sparkSession.sparkContext.broadcast((model.column("bucket").to_numpy().astype(np.int32), model.column("weight").to_numpy().astype(np.float64)))
+
+
+def score(docs: DataFrame, weights: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, held_out, score, predicted, n_weighted (distinct weighted features found)."""
+    bound = _shared(weights)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(F.col("doc_id").cast("long"), 5) == 0, F.lit(True)).alias("held_out"), F.col("text").cast("string").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("n_weighted", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((1 << BITS) + 1)
-        table[bound.value[0]] = bound.value[1]
-        light = (table != 0)[: 1 << BITS]
+        scorer = Scorer(*bound.value)
         for batch in batches:
             for part in text_slices(batch, limit=STEP_BYTES):
-                _, points, offsets = code_points(texts_of(part))
-                bucket, text = gram_features(points, offsets, BITS)
-                hit = light[bucket]
-                pairs = np.unique(text[hit] << BITS | bucket[hit])
-                text, bucket = pairs >> BITS, pairs & ((1 << BITS) - 1)
-                total = table[-1] + np.bincount(text, weights=table[bucket], minlength=part.num_rows)
-                p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-                yield record(schema, part.column("doc_id"), part.column("held_out"), p, (p >= 0.5).astype(np.int32), np.bincount(text, minlength=part.num_rows))
+                p, n = scorer(texts_of(part))
+                yield record(schema, part.column("doc_id"), part.column("held_out"), p, (p >= 0.5).astype(np.int32), n)
 
     return kept.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_weighted long")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     return score(docs, fit(docs, labels, sample_rows))
+
+
+def clean(docs: DataFrame, weights: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that are not predicted to be toxic."""
+    bound = _shared(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*bound.value)
+        for batch in batches:
+            for part in text_slices(batch, limit=STEP_BYTES):
+                yield part.filter(pa.array(scorer(texts_of(part))[0] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

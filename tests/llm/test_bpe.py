@@ -58,14 +58,14 @@ def test_heap_and_scan_merge_alike(table):
 def test_query_on_nulls_empty_repeated_and_long_texts(spark, reference):
     rows = [(1, None, "x"), (2, "", "y"), (2, "", "y"), (None, "the end", "z"), (3, "long word" * 20000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
-    got = bpe.round_trip_digests(docs, P.path("byte_bpe_50k.tiktoken")).collect()
+    got = bpe.round_trip(docs, P.path("byte_bpe_50k.tiktoken")).drop("token_ids").collect()
     want = []
     for doc_id, text, _ in rows:
         ids = reference.encode_ordinary(text or "")
         digest = hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
         want.append((doc_id, len(ids), digest, hashlib.sha256((text or "").encode()).hexdigest()))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
-    assert bpe.round_trip_digests(docs.limit(0), P.path("byte_bpe_50k.tiktoken")).count() == 0
+    assert bpe.round_trip(docs.limit(0), P.path("byte_bpe_50k.tiktoken")).count() == 0
 
 
 def test_tokens_as_rows(spark, reference):
