@@ -13,12 +13,14 @@ has its own number of blocks, and a text takes part in its own band and the one
    the only one that also goes to the key's own partition.
 3. Classes that share a key are paired with the smallest of them, and all with all in groups of at most SMALL.  Larger
    or salted groups are crowds.  A pair that shares 1 + SPARE keys, those of crowds counted as if shared, is a candidate.
-4. Candidates are verified on the whole sets: first each class with the partner it shares most keys with, then those
-   that are not yet connected.  Sets of a partner's members are streamed past it, salted beyond MEMBERS of them.
+4. Each class is verified, on the whole sets, against the partner it shares most keys with.  Sets of a partner's
+   members are streamed past it, salted beyond MEMBERS of them.  Of the other candidates only those go on that are not
+   connected by then and whose short sketches (4096 bits, parity over the whole set) are close enough.
 5. A linked pair that step 3 did not see shares 1 + SPARE keys whose groups are all crowds.  Classes in that many crowds
-   which still span several components go through 2 to 4 again, alone, with other blocks and limits four times as
-   large, until none is left.  So no link that joins two components is lost, though crowds are hardly ever compared
-   all with all.
+   which still span several components are compared with the other components of their crowds, by short sketches and
+   block by block in tasks of their own: first each class with its nearest, then, once those links have merged
+   components, with all that remain near enough.  So no link that joins two components is lost, no crowd is expanded
+   into pairs, and only near pairs get to be verified.
 
 Defined results: null texts and texts without a word have no shingle and link with nothing; fewer words than a shingle
 has make one shingle; a row with a null id links with nothing and has itself no component; repeated rows and ids each
@@ -49,6 +51,8 @@ SMALL = 16
 HOT, SALTS = 64, 64
 #: Members streamed past one partner in one go.
 MEMBERS = 2_000
+#: Bytes of a short sketch, and classes of a crowd that are compared in one block.
+SKETCH, BLOCK = 512, 1_000
 #: Rows that a broadcast table may have; beyond that the join shuffles.
 BROADCAST_ROWS = 300_000
 STEP_BYTES = 4 << 20
@@ -128,13 +132,11 @@ class Bands:
         return int(np.searchsorted(self.limits, size, side="right")) - 1
 
 
-def block_keys(shingles: np.ndarray, band: int, blocks: int, seed: int) -> np.ndarray:
+def block_keys(shingles: np.ndarray, band: int, blocks: int) -> np.ndarray:
     """One key per block: the block's number and its two 64-bit parity words.
 
     The hash space is cut into ``blocks`` ranges, so the ascending shingles are in order of their blocks already.
     """
-    if seed:
-        shingles = np.sort(mix64(shingles ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
     cuts = [(k << 64) // blocks for k in range(1, blocks)]
     ends = np.searchsorted(shingles, np.array(cuts, dtype=np.uint64)) if cuts else np.zeros(0, dtype=np.int64)
     spread, one = mix64(shingles), np.uint64(1)
@@ -143,13 +145,18 @@ def block_keys(shingles: np.ndarray, band: int, blocks: int, seed: int) -> np.nd
     np.bitwise_xor.accumulate(one << (spread >> np.uint64(6) & np.uint64(63)), out=parity[1][1:])
     bounds = np.concatenate([[0], ends, [len(shingles)]])
     a, b = (p[bounds[1:]] ^ p[bounds[:-1]] for p in parity)
-    number = np.arange(blocks, dtype=np.uint64) + np.uint64((band << 40) + (seed << 56))
+    number = np.arange(blocks, dtype=np.uint64) + np.uint64(band << 40)
     return mix64(mix64(mix64(a) ^ (b * _FACTOR)) ^ mix64(number + np.uint64(1)))
 
 
-def keys_of(shingles: np.ndarray, bands: Bands, seed: int) -> np.ndarray:
+def short_sketch(shingles: np.ndarray) -> bytes:
+    """Parity of the set over 8 * SKETCH bits."""
+    return np.packbits(np.bincount((mix64(shingles) >> np.uint64(20) & np.uint64(8 * SKETCH - 1)).astype(np.int64), minlength=8 * SKETCH) & 1 == 1).tobytes()
+
+
+def keys_of(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     band = bands.of(len(shingles))
-    found = [block_keys(shingles, b, bands.blocks[b], seed) for b in (band - 1, band) if b >= 0 and bands.blocks[b]]
+    found = [block_keys(shingles, b, bands.blocks[b]) for b in (band - 1, band) if b >= 0 and bands.blocks[b]]
     return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
 
@@ -167,7 +174,7 @@ def classes(docs: DataFrame, size: int) -> DataFrame:
     return stored(kept.mapInArrow(run, "doc_id long, n_shingles long, node binary"), "classes")
 
 
-def _entries(docs: DataFrame, size: int, bands: Bands, seed: int, parts: int, most: int) -> DataFrame:
+def _entries(docs: DataFrame, size: int, bands: Bands, parts: int, most: int) -> DataFrame:
     """Packed (part, nodes, keys, places): block keys, the classes they are of, by the partition they go to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +182,7 @@ def _entries(docs: DataFrame, size: int, bands: Bands, seed: int, parts: int, mo
             found: dict[bytes, np.ndarray] = {}
             for part in text_slices(batch, limit=STEP_BYTES):
                 for s in shingle_sets(texts_of(part), size):
-                    if len(s) and (node := node_of(s)) not in found and len(k := keys_of(s, bands, seed)):
+                    if len(s) and (node := node_of(s)) not in found and len(k := keys_of(s, bands)):
                         found[node] = k
             if not found:
                 continue
@@ -341,31 +348,112 @@ def _verified(docs: DataFrame, sources: DataFrame, pairs: DataFrame, size: int,
 
 def node_components(docs: DataFrame, found: DataFrame, size: int, percent: int, small: int = SMALL, hot: int = HOT) -> DataFrame:
     """(id, component) for the classes that link with another class; see the module's steps 2 to 5."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bands = Bands(percent)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sources = stored(found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "sources")
-    texts, links, seed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), None, 0
-    while True:
-        raw = stored(_pairs(_entries(texts, size, bands, seed, parts, hot), parts, small), "candidates")
-        crowds = raw.where("crowd is not null").select("crowd", F.col("b").alias("id")).distinct()
-        pairs = stored(_candidates(raw.where("a is not null"), crowds), "pairs")
-        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-        new = _verified(docs, sources, best, size, percent)
-        links = new if links is None else links.unionByName(new)
-        groups = stored(connected_components(links, "a", "b"), "components")
-        left = stored(_apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), groups), "left")
-        if not left.isEmpty():
-            links = links.unionByName(_verified(docs, sources, left, size, percent))
-            groups = stored(connected_components(links, "a", "b"), "components")
-        member = crowds.join(groups, "id", "left").select("crowd", "id", F.coalesce("component", "id").alias("component"))
-        apart = member.groupBy("crowd").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("crowd")
-        unseen = member.join(apart, "crowd", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPARE)
-        nodes = stored(unseen.select(F.col("id").alias("node")).join(sources, "node"), "again")
-        if nodes.isEmpty():
-            return groups
-        texts = joined_by_size(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), nodes.select("doc_id"), "doc_id", "left_semi")
-        seed, small, hot = seed + 1, 4 * small, 4 * hot
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    raw = stored(_pairs(_entries(texts, size, Bands(percent), parts, hot), parts, small), "candidates")
+    crowds = raw.where("crowd is not null").select("crowd", F.col("b").alias("id")).distinct()
+    pairs = stored(_candidates(raw.where("a is not null"), crowds), "pairs")
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+    links = _verified(docs, sources, best, size, percent)
+    groups = stored(connected_components(links, "a", "b"), "components")
+
+    left = stored(_apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), groups), "left")
+    unseen = stored(_unseen(crowds, groups), "unseen")
+    doubtful = left.select(F.col("a").alias("node")).union(left.select("b")).union(unseen.select("id")).distinct()
+    sketches = _sketches(docs, stored(doubtful.join(sources, "node"), "doubtful"), size)
+    near = _near(left, sketches, percent)
+    tested = stored(near.unionByName(_crowd_pairs(unseen, sketches, percent, nearest=True)).distinct(), "near")
+    if tested.isEmpty():
+        return groups
+    links = links.unionByName(_verified(docs, sources, tested, size, percent))
+    groups = stored(connected_components(links, "a", "b"), "components")
+    rest = unseen.select("crowd", "id").join(groups, "id", "left").select("crowd", "id", F.coalesce("component", "id").alias("component"))
+    rest = stored(_crowd_pairs(rest, sketches, percent, nearest=False).distinct().join(tested, ["a", "b"], "left_anti"), "rest")
+    if rest.isEmpty():
+        return groups
+    links = links.unionByName(_verified(docs, sources, rest, size, percent))
+    return stored(connected_components(links, "a", "b"), "components")
+
+
+def _unseen(crowds: DataFrame, groups: DataFrame) -> DataFrame:
+    """(crowd, id, component) in crowds of several components, of classes that may have a link there not yet seen."""
+    member = crowds.join(groups, "id", "left").select("crowd", "id", F.coalesce("component", "id").alias("component"))
+    apart = member.groupBy("crowd").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("crowd")
+    member = member.join(apart, "crowd", "left_semi")
+    often = member.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPARE).select("id")
+    return member.join(often, "id", "left_semi").select("crowd", "id", "component")
+
+
+def _sketches(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(id, n, sketch) of the classes in the stored ``nodes`` (node, doc_id), stored."""
+    texts = joined_by_size(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), nodes, "doc_id").select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, limit=STEP_BYTES):
+                rows = [(node, len(s), short_sketch(s)) for s, node in zip(shingle_sets(texts_of(part), size), part.column("node").to_pylist()) if node_of(s) == node]
+                columns = list(zip(*rows)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.binary(), pa.int64(), pa.binary()])], names=["id", "n", "sketch"])
+
+    return stored(texts.mapInArrow(run, "id binary, n long, sketch binary").dropDuplicates(["id"]), "sketches")
+
+
+def _close(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """How many bits below the largest distance of linked sets the sketches are; negative if they cannot be linked."""
+    apart = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    alike = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    return np.where(alike, (100 - percent) * (n + m) // (100 + percent) - apart, -1)
+
+
+def _words(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, SKETCH // 8)
+
+
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose short sketches allow a link."""
+    both = pairs
+    for c in ("a", "b"):
+        both = both.join(sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+                keep = _close(_words(batch.column("sketch_a")), _words(batch.column("sketch_b")), n, m, percent) >= 0
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a binary, b binary")
+
+
+def _crowd_pairs(members: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """(a, b), a < b, of one crowd and different components whose sketches allow a link; or each class's nearest only."""
+    crowd = members.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(crowd, "crowd").join(sketches, "id")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("crowd", "id", "component", "n", "sketch", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, block, n, x = table.column("id").to_pylist(), table.column("block").to_numpy(), table.column("n").to_numpy(), _words(table.column("sketch"))
+        _, component = np.unique(np.array(table.column("component").to_pylist(), dtype=f"V{NODE}").view(np.uint8).reshape(-1, NODE), axis=0, return_inverse=True)
+        first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        found: set[tuple[bytes, bytes]] = set()
+        for k in left.tolist():
+            others = right[component[right] != component[k]]
+            if first == second and not nearest:
+                others = others[others > k]
+            if not len(others):
+                continue
+            close = _close(x[k], x[others], n[k], n[others], percent)
+            chosen = others[close >= 0]
+            if nearest and len(chosen):
+                chosen = [others[close.argmax()]]
+            found |= {(min(ids[k], ids[o]), max(ids[k], ids[o])) for o in chosen}
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return rows.groupBy("crowd", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
 def _candidates(pairs: DataFrame, crowds: DataFrame) -> DataFrame:

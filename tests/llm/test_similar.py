@@ -76,8 +76,10 @@ def test_bands_and_pigeonhole(percent):
         both = len(np.intersect1d(a, b))
         if 100 * both >= percent * (len(a) + len(b) - both) and not np.array_equal(a, b):
             assert abs(bands.of(len(a)) - bands.of(len(b))) <= 1
-            for seed in (0, 1):
-                assert len(np.intersect1d(similar.keys_of(a, bands, seed), similar.keys_of(b, bands, seed))) > similar.SPARE
+            assert len(np.intersect1d(similar.keys_of(a, bands), similar.keys_of(b, bands))) > similar.SPARE
+            x, y = (np.frombuffer(similar.short_sketch(v), dtype=np.uint64) for v in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+            assert similar._close(x, y[None], len(a), np.array([len(b)]), percent)[0] >= 0
 
 
 EXTRA = [(900, None), (901, ""), (902, " \n "), (903, "one"), (904, "ONE"), (905, "one two"), (None, "one"), (None, None)]
@@ -91,8 +93,9 @@ def test_equals_brute_force(spark):
     assert sorted(map(tuple, got), key=str) == brute(rows, 4, 85)
 
 
-def test_equals_brute_force_with_five_words_and_tight_limits(spark):
-    """Groups of three are crowds already and two classes of a batch are salted, so all rounds are taken."""
+def test_equals_brute_force_with_five_words_and_tight_limits(spark, monkeypatch):
+    """Groups of three are crowds already, two classes of a batch are salted and blocks hold three classes."""
+    monkeypatch.setattr(similar, "BLOCK", 3)
     rows = fixture(2, groups=5, copies=14, words=(20, 60))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     assert sorted(map(tuple, similar.similar_groups(docs, small=2, hot=2).collect()), key=str) == brute(rows, 5, 80)
