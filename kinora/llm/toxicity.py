@@ -34,7 +34,7 @@ RAREST = 3.0
 class Ftrl:
     """Follow the regularised leader, proximal form (McMahan et al., 2013), for binary features."""
 
-    def __init__(self, size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0):
+    def __init__(self, size: int, alpha: float = 3.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0):
         self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
