@@ -18,7 +18,7 @@ def table():
 
 
 @pytest.fixture(scope="module")
-def reference(table):
+def independent(table):
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=table.ranks, special_tokens={})
 
 
@@ -31,16 +31,16 @@ def texts():
     yield from ["a" * 5000, "ab" * 3000, "the" * 2000, " " * 999, "'" * 50, "'ll've'x", "x 's\n's 're're"]
 
 
-def test_same_ids_as_an_independent_encoder(table, reference):
+def test_same_ids_as_an_independent_encoder(table, independent):
     found = list(texts())
     for k in range(0, len(found), 100):
         part = found[k : k + 100]
         ids, ends = table.encode_batch(part)
-        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [reference.encode_ordinary(x) for x in part]
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [independent.encode_ordinary(x) for x in part]
         assert table.decode_batch(ids, ends) == [x.encode() for x in part]
 
 
-def test_joining_is_associative_and_equals_encoding_the_whole(table, reference):
+def test_joining_is_associative_and_equals_encoding_the_whole(table, independent):
     rng = random.Random(6)
     for _ in range(300):
         a, b, c = ("".join(rng.choice("abthe ion") for _ in range(rng.randint(0, 30))).encode() for _ in range(3))
@@ -55,23 +55,23 @@ def test_heap_and_scan_merge_alike(table):
         assert table._merge(data) == table._merge_short(data)
 
 
-def test_query_on_nulls_empty_repeated_and_long_texts(spark, reference):
+def test_query_on_nulls_empty_repeated_and_long_texts(spark, independent):
     rows = [(1, None, "x"), (2, "", "y"), (2, "", "y"), (None, "the end", "z"), (3, "long word" * 20000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
     got = bpe.round_trip(docs, P.path("byte_bpe_50k.tiktoken")).drop("token_ids").collect()
     want = []
     for doc_id, text, _ in rows:
-        ids = reference.encode_ordinary(text or "")
+        ids = independent.encode_ordinary(text or "")
         digest = hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
         want.append((doc_id, len(ids), digest, hashlib.sha256((text or "").encode()).hexdigest()))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert bpe.round_trip(docs.limit(0), P.path("byte_bpe_50k.tiktoken")).count() == 0
 
 
-def test_tokens_as_rows(spark, reference):
+def test_tokens_as_rows(spark, independent):
     docs = spark.createDataFrame([(1, "a cat's tale"), (2, None)], "doc_id long, text string")
     tokens = bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"))
-    assert {r.doc_id: r.token_ids for r in tokens.collect()} == {1: reference.encode_ordinary("a cat's tale"), 2: []}
+    assert {r.doc_id: r.token_ids for r in tokens.collect()} == {1: independent.encode_ordinary("a cat's tale"), 2: []}
     assert {r.doc_id: bytes(r.text) for r in bpe.decode(tokens, P.path("byte_bpe_50k.tiktoken")).collect()} == {1: b"a cat's tale", 2: b""}
 
 
