@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinora.llm.batches import record
+from kinora.session import stored
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -67,7 +69,12 @@ def credential(text: str, span: Span) -> str:
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
     """Long tokens with a digit in them that touch no base span."""
     found = [m.span() for m in CANDIDATE.finditer(text) if DIGIT.search(text, *m.span())]
-    return [(a, b) for a, b in found if all(b <= s or e <= a for _, s, e in base)] if base else found
+    if not base or not found:
+        return found
+    starts, ends, reach = [s for _, s, _ in base], [], 0
+    for _, _, e in base:  # base spans are ordered by start, so the furthest end so far is all that matters
+        ends.append(reach := max(reach, e))
+    return [(a, b) for a, b in found if not (k := bisect_left(starts, b)) or ends[k - 1] <= a]
 
 
 _CLASSES = str.maketrans({**dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("ABCDEF", "H"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "U"), **dict.fromkeys("0123456789", "d")})
@@ -169,7 +176,6 @@ class Formats:
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
         self.kinds = {k: Automaton.infer([classes(s) for s in v]) for k, v in sorted(labelled.items()) if v}
         self.ordinary = Automaton.infer([classes(s) for s in ordinary])
-        self._scores: dict[str, float] = {}
 
     def score(self, token: str) -> float:
         """Logarithm of how much likelier the best credential format makes the token than ordinary text does."""
@@ -202,7 +208,7 @@ def labelled_strings(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFra
 
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, strings: int = SAMPLE_STRINGS) -> Formats:
     """Formats inferred on the driver from at most ``strings`` strings of each kind."""
-    found = labelled_strings(docs, sample_rows)
+    found = stored(labelled_strings(docs, sample_rows), "credentials")
     parts = [found.where(F.col("kind") == k).orderBy(F.xxhash64("string"), "string").limit(strings) for k in (*KINDS[:3], "ordinary")]
     kept: dict[str, list[str]] = {}
     for row in parts[0].union(parts[1]).union(parts[2]).union(parts[3]).collect():
