@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text handed to one vectorised step. Whole rows only: a single longer text forms a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays over 1 MB go back to the system when they are freed
+    _libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+except (OSError, AttributeError):  # another C library
+    _libc = None
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -24,6 +31,9 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(first, last - first)
         first = last
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)  # Python workers live on between tasks and stages; what they hold counts
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

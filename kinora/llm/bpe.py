@@ -31,11 +31,11 @@ from kinora.llm.batches import code_points, mix64, record, text_slices, texts_of
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: What one worker remembers: pieces (beyond that only a fourth is kept) and windows. Forgetting costs time, no result.
-PIECES, WINDOWS = 3_000_000, 200_000
+PIECES, WINDOWS = 1_500_000, 200_000
 #: Pieces of up to so many characters are found by their hash.
 SHORT = 64
 #: Text encoded in one vectorised step.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 #: Up to so many bytes are merged directly.
 LEAF = 8
 

@@ -24,12 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinora.llm.batches import text_slices
 from kinora.session import stored
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: Words of a segment (a longer document is a segment of its own), and of a block of the test set.
-SEGMENT_WORDS, BLOCK_WORDS = 1 << 19, 1 << 18
+SEGMENT_WORDS, BLOCK_WORDS = 1 << 18, 1 << 18
 WINDOW = 13
 #: Rows that a broadcast table may have; beyond that the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -139,8 +140,8 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
             names = ["segment", "doc_ids", "starts", "lengths", "terms", "ends", "postings"]
             return pa.RecordBatch.from_arrays([pa.array([c[0]], k) for c, k in zip(columns, kinds)], names=names)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+        for part in (part for batch in batches for part in text_slices(batch)):
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                 found = words(text)
                 if ids and size + len(found) > segment_words:
                     yield flush()
@@ -189,8 +190,8 @@ def _search(index: DataFrame, items: list[Item], window: int) -> DataFrame:
             for w in windows(found, window):
                 phrases.setdefault(tuple(w), []).append(item)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            for r in batch.to_pylist():
+        for row in (batch.slice(k, 1) for batch in batches for k in range(batch.num_rows)):
+            for r in row.to_pylist():
                 s = Segment.read(r["doc_ids"], r["starts"], r["lengths"], r["terms"], r["ends"], r["postings"])
                 n = len(s.doc_ids)
                 change = np.zeros(int(s.starts[-1] + s.lengths[-1]) + 2, dtype=np.int32)
@@ -246,8 +247,8 @@ def find_near(index: DataFrame, queries: dict[str, list[str]], span: int) -> Dat
     bound = index.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
+        for row in (batch.slice(k, 1) for batch in batches for k in range(batch.num_rows)):
+            for r in row.to_pylist():
                 s = Segment.read(r["doc_ids"], r["starts"], r["lengths"], r["terms"], r["ends"], r["postings"])
                 found = [(s.doc_ids[d := int(s.document(a))], name, a - int(s.starts[d]), b - int(s.starts[d])) for name, terms in bound.value.items() if terms for a, b in s.near(terms, span)]
                 columns = list(zip(*found)) or [()] * 4

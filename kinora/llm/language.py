@@ -27,7 +27,7 @@ SIZES = (3, 4)
 SLOTS_LOG2, HASHES = 20, 4
 #: Rows learned from per language, at most, and n-grams kept per language.
 SAMPLE_ROWS, PROFILE = 2_000, 6_000
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 _FACTOR = np.uint64(0xD1342543DE82EF95)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinora.llm.batches import record
+from kinora.llm.batches import record, text_slices
 from kinora.session import stored
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -193,7 +193,7 @@ def labelled_strings(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFra
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole)):
             found = set()
             for text in batch.column("text").to_pylist():
                 if text:
@@ -223,7 +223,7 @@ def scan(docs: DataFrame, formats: Formats) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_grammar", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole)):
             texts = batch.column("text").to_pylist()
             base = [base_spans(t) if t else [] for t in texts]
             extra = [bound.value.added(t, b) if t else [] for t, b in zip(texts, base)]
@@ -253,7 +253,7 @@ def redact(docs: DataFrame, formats: Formats, mark: str = "[REDACTED]") -> DataF
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole)):
             k = batch.schema.get_field_index("text")
             texts = [redacted(t, bound.value, mark) for t in batch.column(k).to_pylist()]
             yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))

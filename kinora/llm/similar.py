@@ -49,13 +49,15 @@ SPARE = 3
 SMALL = 16
 #: Classes of a batch that share a key before it is salted, and the salts.
 HOT, SALTS = 64, 64
+#: Keys that are packed together, about.
+ENTRIES = 1 << 20
 #: Members streamed past one partner in one go.
 MEMBERS = 2_000
 #: Bytes of a short sketch, and classes of a crowd that are compared in one block.
 SKETCH, BLOCK = 512, 1_000
 #: Rows that a broadcast table may have; beyond that the join shuffles.
 BROADCAST_ROWS = 300_000
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 _FACTOR = np.uint64(0xD1342543DE82EF95)
 _POWERS = np.multiply.accumulate(np.full(1 << 12, _FACTOR, dtype=np.uint64))
 
@@ -178,40 +180,46 @@ def _entries(docs: DataFrame, size: int, bands: Bands, parts: int, most: int) ->
     """Packed (part, nodes, keys, places): block keys, the classes they are of, by the partition they go to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bytes, np.ndarray] = {}
+        held = 0
         for batch in batches:
-            found: dict[bytes, np.ndarray] = {}
             for part in text_slices(batch, limit=STEP_BYTES):
                 for s in shingle_sets(texts_of(part), size):
                     if len(s) and (node := node_of(s)) not in found and len(k := keys_of(s, bands)):
                         found[node] = k
-            if not found:
-                continue
-            order = sorted(found)
-            nodes = np.frombuffer(b"".join(order), dtype=f"V{NODE}")
-            keys = np.concatenate([found[n] for n in order]) & ~np.uint64(1)
-            place = np.repeat(np.arange(len(order)), [len(found[n]) for n in order])
-            found.clear()
-            by = np.argsort(keys, kind="stable")
-            keys, place = keys[by], place[by]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            many = np.diff(np.append(first, len(keys)))
-            hot = np.repeat(many > most, many)
-            lead = np.zeros(len(keys), dtype=bool)
-            lead[first] = True
-            own = ~hot | lead
-            raw = nodes.view(np.uint8).reshape(-1, NODE)[:, :8].copy().view(np.uint64).ravel()
-            salt = mix64(raw[place[hot]]) % np.uint64(SALTS)
-            key = np.concatenate([keys[own] | hot[own].astype(np.uint64), keys[hot] | np.uint64(1)])
-            whose = np.concatenate([place[own], place[hot]])
-            route = np.concatenate([mix64(keys[own]), mix64(keys[hot] + (salt + np.uint64(1)) * _FACTOR)]) % np.uint64(parts)
-            by = np.argsort(route, kind="stable")
-            key, whose, route = key[by], whose[by], route[by]
-            cuts = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1], [True]]))
-            rows = []
-            for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
-                used, index = np.unique(whose[a:b], return_inverse=True)
-                rows.append((int(route[a]), nodes[used].tobytes(), key[a:b].tobytes(), index.astype("<u4" if len(used) > 65535 else "<u2").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32(), pa.binary(), pa.binary(), pa.binary()])], names=["part", "nodes", "keys", "places"])
+                        held += len(k)
+                if held >= ENTRIES:
+                    yield packed(found)
+                    found, held = {}, 0
+        if found:
+            yield packed(found)
+
+    def packed(found: dict[bytes, np.ndarray]) -> pa.RecordBatch:
+        order = sorted(found)
+        nodes = np.frombuffer(b"".join(order), dtype=f"V{NODE}")
+        keys = np.concatenate([found[n] for n in order]) & ~np.uint64(1)
+        place = np.repeat(np.arange(len(order)), [len(found[n]) for n in order])
+        by = np.argsort(keys, kind="stable")
+        keys, place = keys[by], place[by]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        many = np.diff(np.append(first, len(keys)))
+        hot = np.repeat(many > most, many)
+        lead = np.zeros(len(keys), dtype=bool)
+        lead[first] = True
+        own = ~hot | lead
+        raw = nodes.view(np.uint8).reshape(-1, NODE)[:, :8].copy().view(np.uint64).ravel()
+        salt = mix64(raw[place[hot]]) % np.uint64(SALTS)
+        key = np.concatenate([keys[own] | hot[own].astype(np.uint64), keys[hot] | np.uint64(1)])
+        whose = np.concatenate([place[own], place[hot]])
+        route = np.concatenate([mix64(keys[own]), mix64(keys[hot] + (salt + np.uint64(1)) * _FACTOR)]) % np.uint64(parts)
+        by = np.argsort(route, kind="stable")
+        key, whose, route = key[by], whose[by], route[by]
+        cuts = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1], [True]]))
+        rows = []
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            used, index = np.unique(whose[a:b], return_inverse=True)
+            rows.append((int(route[a]), nodes[used].tobytes(), key[a:b].tobytes(), index.astype("<u4" if len(used) > 65535 else "<u2").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32(), pa.binary(), pa.binary(), pa.binary()])], names=["part", "nodes", "keys", "places"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, nodes binary, keys binary, places binary")
 
@@ -326,7 +334,7 @@ def _verified(docs: DataFrame, sources: DataFrame, pairs: DataFrame, size: int,
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partner, mine = None, np.zeros(0, dtype=np.uint64)
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, max(1, whole.num_rows), 256)):
             a, b = [], []
             for lead, salt, role, node, packed in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "role", "node", "shingles"))):
                 theirs = np.frombuffer(packed, dtype=np.uint64)

@@ -23,7 +23,7 @@ from kinora.llm.batches import code_points, record, text_slices, texts_of
 from kinora.llm.words import gram_features
 
 BITS = 20
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 #: Labelled rows learned from, at most, of each class; taken in the order of a hash of the id.
 SAMPLE_ROWS = 12_000
 
