@@ -13,8 +13,7 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 try:
     _libc = ctypes.CDLL("libc.so.6")
-    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays over 1 MB go back to the system when they are freed
-    _libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+    _libc.malloc_trim
 except (OSError, AttributeError):  # another C library
     _libc = None
 
