@@ -28,7 +28,6 @@ from kinora.llm.batches import text_slices
 from kinora.session import stored
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
 #: Words of a segment (a longer document is a segment of its own), and of a block of the test set.
 SEGMENT_WORDS, BLOCK_WORDS = 1 << 19, 1 << 18
 WINDOW = 13
@@ -38,7 +37,8 @@ INDEX = "segment long, doc_ids array<long>, starts array<int>, lengths array<int
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.translate(LOWER) if not text.isascii() else text.lower()) if text else []
+    """Bytes are lower-cased in A-Z only, and quicker than by a table of characters."""
+    return WORD.findall(text.encode().lower().decode()) if text else []
 
 
 class Segment:
