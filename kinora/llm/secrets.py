@@ -32,10 +32,10 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 DIGIT = re.compile(r"[0-9]")
 #: In the order of ties.
 KINDS = ("assign", "access", "hex", "grammar")
-#: Characters of a string that an automaton reads; the rest of a longer one is scored like its end.
-READ = 64
-#: Distinct labelled strings per kind, and ordinary tokens, that are learned from; taken in the order of a hash.
+#: Distinct labelled strings per kind, and ordinary tokens, that are learned from; taken whole, in the order of a hash.
 SAMPLE_STRINGS = 400
+#: Once those of a kind hold so many characters together, no more are taken; the one that reaches it is whole as well.
+SAMPLE_CHARS = 200_000
 #: Documents that are searched for them, in the order of a hash of their ids.
 SAMPLE_ROWS = 20_000
 #: Natural logarithm of how much likelier the credential format has to be.
@@ -82,15 +82,48 @@ _CLASSES = str.maketrans({**dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijk
 _SIZES = {"h": 6, "l": 20, "H": 6, "U": 20, "d": 10}
 
 
+def _log_size(c: str) -> float:
+    return math.log(_SIZES.get(c, 1))
+
+
 def classes(text: str) -> str:
-    return text[:READ].translate(_CLASSES)
+    return text.translate(_CLASSES)
+
+
+class Smallest:
+    """The distinct strings first in the order of a hash: ``count`` of them, or fewer that reach ``chars`` characters."""
+
+    def __init__(self, count: int = SAMPLE_STRINGS, chars: int = SAMPLE_CHARS):
+        self.count, self.chars, self.size, self.last = count, chars, 0, None
+        self.kept: dict[bytes, str] = {}
+
+    def add(self, string: str) -> None:
+        h = hashlib.blake2b(string.encode(), digest_size=16).digest()
+        if h in self.kept or (self.last is not None and h > self.last):
+            return
+        self.kept[h] = string
+        self.size += len(string)
+        if len(self.kept) > 2 * self.count or self.size > 2 * self.chars:
+            self.items()
+
+    def items(self) -> list[tuple[bytes, str]]:
+        """(hash, string) in order; what comes after them is dropped."""
+        found, size = [], 0
+        for item in sorted(self.kept.items()):
+            if len(found) == self.count or size >= self.chars:
+                self.last = found[-1][0]
+                break
+            found.append(item)
+            size += len(item[1])
+        self.kept, self.size = dict(found), size
+        return found
 
 
 class Automaton:
     """A deterministic probabilistic automaton: per state its visits, ends, and transitions with their counts."""
 
     def __init__(self):
-        self.visits, self.ends, self.next = [0], [0], [{}]
+        self.visits, self.ends, self.next, self.steps = [0], [0], [{}], [{}]
 
     @classmethod
     def infer(cls, strings: list[str], confidence: float = 0.05) -> Automaton:
@@ -122,7 +155,15 @@ class Automaton:
             else:
                 settled.append(to)
                 seen.add(to)
-        return tree
+        return tree._only(settled)
+
+    def _only(self, states: list[int]) -> Automaton:
+        """The automaton of ``states`` alone, the first of them its start, with the logarithms that a walk adds up."""
+        new, out = {s: k for k, s in enumerate(states)}, Automaton()
+        out.visits, out.ends = [self.visits[s] for s in states], [self.ends[s] for s in states]
+        out.next = [{c: (new[to], n) for c, (to, n) in self.next[s].items()} for s in states]
+        out.steps = [{c: (to, math.log((n + 0.01) / (v + 0.1)) - _log_size(c)) for c, (to, n) in t.items()} for t, v in zip(out.next, out.visits)]
+        return out
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         """Hoeffding's bound on two observed shares."""
@@ -159,15 +200,14 @@ class Automaton:
         """Of the characters and of ending after them; what was never seen has half a count."""
         at, total = 0, 0.0
         string = classes(text)
-        for c in string:
-            to, n = self.next[at].get(c, (None, 0)) if at is not None else (None, 0)
-            visits = self.visits[at] if at is not None else 0
-            total += math.log((n + 0.01) / (visits + 0.1)) - math.log(_SIZES.get(c, 1))
-            at = to
-        if len(text) <= READ:
-            ends, visits = (self.ends[at], self.visits[at]) if at is not None else (0, 0)
-            total += math.log((ends + 0.01) / (visits + 0.1))
-        return total
+        for k, c in enumerate(string):
+            if (step := self.steps[at].get(c)) is None:  # left for good: what follows, and the end, is as unseen as can be
+                rest = string[k + 1 :]
+                sizes = sum(rest.count(x) * _log_size(x) for x in _SIZES)
+                return total + math.log(0.01 / (self.visits[at] + 0.1)) - _log_size(c) + (len(rest) + 1) * math.log(0.1) - sizes
+            at, p = step
+            total += p
+        return total + math.log((self.ends[at] + 0.01) / (self.visits[at] + 0.1))
 
 
 class Formats:
@@ -187,34 +227,42 @@ class Formats:
         return [("grammar", a, b) for a, b in candidates(text, base) if self.score(text[a:b]) >= MARGIN]
 
 
-def labelled_strings(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(kind, string) as found by the base patterns and, as kind ``ordinary``, candidates they leave, in the sample."""
+def labelled_strings(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, strings: int = SAMPLE_STRINGS) -> DataFrame:
+    """(kind, hash, string) as found by the base patterns and, as kind ``ordinary``, candidates they leave, in the sample.
+
+    A task keeps those of each kind that come first by their hash, so the first of all are among them.
+    """
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = {k: Smallest(strings) for k in (*KINDS[:3], "ordinary")}
         for batch in (part for whole in batches for part in text_slices(whole)):
-            found = set()
             for text in batch.column("text").to_pylist():
                 if text:
                     base = base_spans(text)
-                    found |= {(s[0], credential(text, s)[:READ]) for s in base}
-                    found |= {("ordinary", text[a : min(b, a + READ)]) for a, b in candidates(text, base)}
-            kinds, strings = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(strings, pa.string())], names=["kind", "string"])
+                    for s in base:
+                        kept[s[0]].add(credential(text, s))
+                    for a, b in candidates(text, base):
+                        kept["ordinary"].add(text[a:b])
+        for kind, some in kept.items():
+            if items := some.items():
+                hashes, found = zip(*items)
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(items), pa.string()), pa.array(hashes, pa.binary()), pa.array(found, pa.string())], names=["kind", "hash", "string"])
 
-    return texts.mapInArrow(run, "kind string, string string").distinct()
+    return texts.mapInArrow(run, "kind string, hash binary, string string").distinct()
 
 
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, strings: int = SAMPLE_STRINGS) -> Formats:
     """Formats inferred on the driver from at most ``strings`` strings of each kind."""
-    found = stored(labelled_strings(docs, sample_rows), "credentials")
-    parts = [found.where(F.col("kind") == k).orderBy(F.xxhash64("string"), "string").limit(strings) for k in (*KINDS[:3], "ordinary")]
-    kept: dict[str, list[str]] = {}
+    found = stored(labelled_strings(docs, sample_rows, strings), "credentials")
+    parts = [found.where(F.col("kind") == k).orderBy("hash").limit(strings) for k in (*KINDS[:3], "ordinary")]
+    kept: dict[str, Smallest] = {}
     for row in parts[0].union(parts[1]).union(parts[2]).union(parts[3]).collect():
-        kept.setdefault(row.kind, []).append(row.string)
-    ordinary = sorted(kept.pop("ordinary", []))
-    return Formats({k: sorted(v) for k, v in kept.items()}, ordinary)
+        kept.setdefault(row.kind, Smallest(strings)).add(row.string)
+    learned = {k: sorted(s for _, s in v.items()) for k, v in kept.items()}
+    ordinary = learned.pop("ordinary", [])
+    return Formats(learned, ordinary)
 
 
 def scan(docs: DataFrame, formats: Formats) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 
 from kinora.llm import secrets
@@ -52,6 +53,44 @@ def test_compatible_states_are_merged():
     assert len(reached) < 20
 
 
+def test_tokens_are_read_whole():
+    def lead():
+        return word("QRSTUVW", 69) + "7"
+
+    formats = secrets.Formats({"assign": [lead() + word(HEX, 20) for _ in range(200)]}, [lead() + "-" + word("ghijklmnop", 29) for _ in range(200)])
+    secret, path = lead() + word(HEX, 20), lead() + "-" + word("ghijklmnop", 29)
+    assert formats.score(secret) > secrets.MARGIN and formats.score(path) < 0
+    assert secrets.redacted(f"x {secret} {path} y", formats) == f"x [REDACTED] {path} y"
+    automaton = formats.kinds["assign"]
+    text = lead() + "-/" + word(HEX, 20) + "--/"
+    by_character = sum(math.log(0.1) for _ in range(25 + 1)) - sum(math.log(secrets._SIZES.get(c, 1)) for c in secrets.classes(text[70:]))
+    before = secrets.classes(text[:70])
+    at, total = 0, 0.0
+    for c in before:
+        to, n = automaton.next[at][c]
+        total += math.log((n + 0.01) / (automaton.visits[at] + 0.1)) - math.log(secrets._SIZES[c])
+        at = to
+    total += math.log(0.01 / (automaton.visits[at] + 0.1)) - math.log(0.1)
+    assert math.isclose(automaton.log_likelihood(text), total + by_character)
+
+
+def test_a_sample_takes_whole_strings_in_any_order():
+    strings = [word(HEX, RNG.randint(1, 300)) for _ in range(3000)]
+    wanted = sorted({(hashlib.blake2b(s.encode(), digest_size=16).digest(), s) for s in strings})
+    for count, chars in ((50, 10**9), (10**9, 5000)):
+        kept = secrets.Smallest(count, chars)
+        for s in strings + strings[::-1]:
+            kept.add(s)
+        got = kept.items()
+        assert got == wanted[: len(got)] and (len(got) == count or sum(len(s) for _, s in got[:-1]) < chars <= sum(len(s) for _, s in got))
+
+
+def test_long_strings_are_learned_whole(spark):
+    found = [(k, f"password={word(HEX, 12)}.{word(UPPER, 90)} and {word('0123456789', 100)}") for k in range(5)]
+    got = {(r.kind, r.string) for r in secrets.labelled_strings(spark.createDataFrame(found, "doc_id long, text string")).collect()}
+    assert {len(s) for k, s in got if k == "assign"} == {103}
+
+
 def rows():
     for i in range(300):
         kind = i % 3
