@@ -6,8 +6,8 @@ rates and the L1 term leave few weights, which are broadcast as (bucket, weight)
 Scoring reads every text once, whole, without a shuffle.
 
 Defined results: null and empty texts have no features and score the model's prior; rows are scored one by one, so
-repeated rows and ids change nothing; a null id is never learned from and counts as held out; without any labelled
-row there are no weights, so every score is 0.5.
+repeated rows and ids change nothing; a null id is never learned from and counts as held out; without any row to learn
+from there are no weights, so every score is 0.5, which counts as predicted toxic but as no reason to drop a document.
 """
 
 from __future__ import annotations
@@ -145,13 +145,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 
 
 def clean(docs: DataFrame, weights: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that are not predicted to be toxic."""
+    """The rows of ``docs``, all columns as they are, that score 0.5, as without any evidence, or less."""
     bound = _shared(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*bound.value)
         for batch in batches:
             for part in text_slices(batch, limit=STEP_BYTES):
-                yield part.filter(pa.array(scorer(texts_of(part))[0] < 0.5))
+                yield part.filter(pa.array(scorer(texts_of(part))[0] <= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

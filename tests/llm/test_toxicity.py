@@ -70,3 +70,13 @@ def test_no_rows_and_no_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity(docs, labels).collect()[0].score == 0.5
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_without_a_model_every_document_is_kept(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (5, ""), (None, "c")], "doc_id long, text string")
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 0]
+    for found in ([], [(1, None)], [(77, 1), (78, 0)], [(i, 1) for i in held]):
+        labels = spark.createDataFrame(found, "doc_id long, toxic int")
+        assert sorted(toxicity.clean(docs, toxicity.fit(docs, labels)).collect(), key=str) == sorted(docs.collect(), key=str)
+    one = spark.createDataFrame([(zlib.crc32(b"unseen") % (1 << toxicity.BITS), 2.0)], "bucket long, weight double")
+    assert toxicity.clean(docs, one).count() == 4  # no intercept: texts without a weighted feature say nothing
