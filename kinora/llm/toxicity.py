@@ -58,15 +58,26 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(divisor)
 
 
+def learnable(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labelled documents that may be learned from."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def sample(labels: DataFrame, rows: int) -> DataFrame:
-    """(doc_id, toxic) of at most ``rows`` labelled documents of each class that may be learned from."""
-    kept = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """(doc_id, toxic) of at most ``rows`` learnable documents of each class."""
+    kept = learnable(labels)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     return kept.where("toxic = 1").orderBy(*order).limit(rows).unionByName(kept.where("toxic = 0").orderBy(*order).limit(rows))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, passes: int = 4) -> DataFrame:
-    """The learned weights as (bucket, weight); bucket 2**BITS is the intercept."""
+    """The learned weights as (bucket, weight); bucket 2**BITS is the intercept.
+
+    The sample holds the classes at rates of their own, so the intercept is corrected to the odds of all learnable rows.
+    """
+    counts = {r.toxic: r.n for r in learnable(labels).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # how many rows a toxic row of the sample stands for, by how many a clean one does
+    stands = max(1.0, counts.get(1, 0) / sample_rows) / max(1.0, counts.get(0, 0) / sample_rows) if len(counts) == 2 else 1.0
     chosen = F.broadcast(sample(labels, sample_rows))  # 2 * sample_rows rows at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
 
@@ -88,11 +99,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pass
         rows.sort(key=lambda r: ((r[0] * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF, r))  # mixes the classes
         model = Ftrl(1 << BITS)
         toxic = sum(label for _, label, _ in rows)
-        rarer = min(RAREST, max(1.0, (len(rows) - toxic) / max(toxic, 1)))
+        clean = len(rows) - toxic
+        rarer, rarer_of_all = (min(RAREST, max(1.0, clean / max(toxic * k, 1))) for k in (1.0, stands))
         for _ in range(passes):
             for _, label, packed in rows:
                 model.update(np.frombuffer(packed, dtype=np.int32), label, rarer if label else 1.0)
         weights = model.weights(slice(None))
+        weights[-1] += np.log(stands * rarer_of_all / rarer)
         kept = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(weights[kept])], names=["bucket", "weight"])
 

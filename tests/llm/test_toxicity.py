@@ -80,3 +80,16 @@ def test_without_a_model_every_document_is_kept(spark):
         assert sorted(toxicity.clean(docs, toxicity.fit(docs, labels)).collect(), key=str) == sorted(docs.collect(), key=str)
     one = spark.createDataFrame([(zlib.crc32(b"unseen") % (1 << toxicity.BITS), 2.0)], "bucket long, weight double")
     assert toxicity.clean(docs, one).count() == 4  # no intercept: texts without a weighted feature say nothing
+
+
+def test_a_capped_sample_keeps_the_class_ratio(spark):
+    rng = random.Random(5)
+    found = [(i, int(i % 10 == 0)) for i in range(6000)]
+    docs = spark.createDataFrame([(i, "hint" if rng.random() < (0.6 if y else 0.3) else "plain") for i, y in found] + [(9000, "hint"), (9001, "plain")], "doc_id long, text string")
+    labels = spark.createDataFrame(found, "doc_id long, toxic int")
+
+    def scores(rows):
+        return {r.doc_id: r.score for r in toxicity.toxicity(docs, labels, rows).where("doc_id >= 9000").collect()}
+
+    whole, capped = scores(10_000), scores(300)
+    assert all(whole[i] < 0.5 and capped[i] < 0.5 and abs(whole[i] - capped[i]) < 0.12 for i in (9000, 9001)), (whole, capped)
