@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinora.llm.batches import code_points, mix64, text_slices, texts_of
 from kinora.operators.components import connected_components
@@ -500,12 +501,36 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, small: int
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group, one row per id; rows without an id stay."""
-    found = similar_groups(docs, size, percent)
-    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = joined_by_size(docs, gone, "doc_id", "left_anti")
+    """The rows of ``docs`` with the smallest id of the texts linked to theirs; rows without an id stay.
+
+    An id with several texts is judged text by text, and keeps one row, the first by a hash, of those that are linked.
+    """
+    found = classes(docs, size)
+    groups = node_components(docs, found, size, percent, SMALL, HOT)
+    ids = found.where("node is not null").select("node", "doc_id").distinct()
+    member = ids.join(groups.withColumnRenamed("id", "node"), "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+    least = member.groupBy("component").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = stored(member.join(least, "component").where("doc_id <> least").select("doc_id", "node"), "gone")
     repeated = stored(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
-        return kept
-    several = joined_by_size(kept, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return joined_by_size(kept, repeated, "doc_id", "left_anti").unionByName(several)
+        return joined_by_size(docs, gone.select("doc_id"), "doc_id", "left_anti")
+    single = joined_by_size(joined_by_size(docs, repeated, "doc_id", "left_anti"), gone.select("doc_id"), "doc_id", "left_anti")
+    several = _with_node(joined_by_size(docs, repeated, "doc_id", "left_semi"), size)
+    several = joined_by_size(several, gone.withColumnRenamed("node", "_node"), ["doc_id", "_node"], "left_anti")
+    linked = stored(joined_by_size(member, repeated, "doc_id", "left_semi").select("doc_id", F.col("node").alias("_node"), F.col("component").alias("_component")), "linked")
+    several = joined_by_size(several, linked, ["doc_id", "_node"], "left")
+    order = F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))
+    several = several.groupBy("doc_id", "_component", F.when(F.col("_component").isNull(), F.xxhash64("text")).alias("_text")).agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    return single.unionByName(several.select("row.*"))
+
+
+def _with_node(docs: DataFrame, size: int) -> DataFrame:
+    """``docs`` with the class of each text as ``_node``; null without shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, limit=STEP_BYTES):
+                nodes = [node_of(s) if len(s) else None for s in shingle_sets(texts_of(part), size)]
+                yield part.append_column("_node", pa.array(nodes, pa.binary()))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_node", T.BinaryType())]))

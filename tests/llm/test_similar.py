@@ -104,3 +104,15 @@ def test_equals_brute_force_with_five_words_and_tight_limits(spark, monkeypatch)
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert similar.similar_groups(docs).count() == 0
+
+
+def test_one_of_each_judges_an_id_text_by_text(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (2, b), (2, c), (2, c), (3, a), (3, c + " tail"), (4, None), (4, ""), (4, None), (5, b + " tail"), (6, "alone"), (1, a + " tail"), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((r.doc_id, r.text) for r in similar.one_of_each(docs).collect()), key=str)
+    (of_1,) = [t for d, t in got if d == 1]
+    assert of_1 in (a, a + " tail")
+    assert got == sorted([(1, of_1), (2, b), (2, c), (4, None), (4, ""), (6, "alone"), (None, a)], key=str)
+    again = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(2)
+    assert sorted(((r.doc_id, r.text) for r in similar.one_of_each(again).collect()), key=str) == got
