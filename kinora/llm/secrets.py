@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and formats learned from them by grammar inference.
 
-The base patterns find assigned values, access keys and long hexadecimal runs.  Credentials they find in a bounded
-sample serve as labelled strings: for each kind a prefix tree is built over character classes and its statistically
+The base patterns find assigned values, access keys and long hexadecimal runs.  Of the credentials they
+find in all texts a bounded sample serves as labelled strings: for each kind a prefix tree is built over character classes and its statistically
 compatible states are merged (ALERGIA, Carrasco and Oncina 1994) into a probabilistic automaton.  One more automaton
 is inferred from ordinary long tokens.  Every candidate token of every text that no base span touches is then scored
 by how much likelier the best credential format is than ordinary text; likelier ones are added as spans.
@@ -36,8 +36,6 @@ KINDS = ("assign", "access", "hex", "grammar")
 SAMPLE_STRINGS = 400
 #: Once those of a kind hold so many characters together, no more are taken; the one that reaches it is whole as well.
 SAMPLE_CHARS = 200_000
-#: Documents that are searched for them, in the order of a hash of their ids.
-SAMPLE_ROWS = 20_000
 #: Natural logarithm of how much likelier the credential format has to be.
 MARGIN = math.log(1000)
 
@@ -227,13 +225,12 @@ class Formats:
         return [("grammar", a, b) for a, b in candidates(text, base) if self.score(text[a:b]) >= MARGIN]
 
 
-def labelled_strings(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, strings: int = SAMPLE_STRINGS) -> DataFrame:
-    """(kind, hash, string) as found by the base patterns and, as kind ``ordinary``, candidates they leave, in the sample.
+def labelled_strings(docs: DataFrame, strings: int = SAMPLE_STRINGS) -> DataFrame:
+    """(kind, hash, string) as found by the base patterns and, as kind ``ordinary``, candidates they leave, in all texts.
 
     A task keeps those of each kind that come first by their hash, so the first of all are among them.
     """
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("text")
+    texts = docs.select(F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = {k: Smallest(strings) for k in (*KINDS[:3], "ordinary")}
@@ -253,9 +250,9 @@ def labelled_strings(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, strings: i
     return texts.mapInArrow(run, "kind string, hash binary, string string").distinct()
 
 
-def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, strings: int = SAMPLE_STRINGS) -> Formats:
+def learn(docs: DataFrame, strings: int = SAMPLE_STRINGS) -> Formats:
     """Formats inferred on the driver from at most ``strings`` strings of each kind."""
-    found = stored(labelled_strings(docs, sample_rows, strings), "credentials")
+    found = stored(labelled_strings(docs, strings), "credentials")
     parts = [found.where(F.col("kind") == k).orderBy("hash").limit(strings) for k in (*KINDS[:3], "ordinary")]
     kept: dict[str, Smallest] = {}
     for row in parts[0].union(parts[1]).union(parts[2]).union(parts[3]).collect():

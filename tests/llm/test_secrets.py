@@ -91,6 +91,11 @@ def test_long_strings_are_learned_whole(spark):
     assert {len(s) for k, s in got if k == "assign"} == {103}
 
 
+def test_strings_of_all_documents_are_collected(spark):
+    docs = spark.range(10_000, 32_000).selectExpr("id doc_id", "concat('password=zz', id) text")
+    assert secrets.labelled_strings(docs, strings=10**6).where("kind = 'assign'").count() == 22_000
+
+
 def rows():
     for i in range(300):
         kind = i % 3
