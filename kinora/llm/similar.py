@@ -7,20 +7,25 @@ at most d = (1 - t) / (1 + t) * (|A| + |B|), so of d + 1 + SPARE blocks at least
 (pigeonhole).  Sizes are dealt into bands so narrow that such a pair lies in one band or in neighbouring ones; a band
 has its own number of blocks, and a text takes part in its own band and the one below.
 
-1. A scan gives each text's number of shingles and its class, a 96-bit hash of the set: equal sets are one class.
-2. A scan gives each class's block keys, packed by the partition they go to.  Texts that are equal within a batch are
-   sent once.  A key that many classes of one batch share is dealt over salted partitions, with its smallest class as
-   the only one that also goes to the key's own partition.
+1. A scan gives each text's number of shingles, its class and a short sketch: parity of the whole set over about two
+   bits a shingle.  Equal sets are one class, numbered by a 64-bit hash of the set; should two sets share one, which
+   is looked for, both are numbered by a second hash.
+2. A scan gives each class's block keys, packed by the partition they go to; partitions are as many as the number of
+   shingles asks for.  Texts that are equal within a batch are sent once.  A key that many classes of one batch share is
+   dealt over salted partitions, with its smallest class as the only one that also goes to the key's own partition.
 3. Classes that share a key are paired with the smallest of them, and all with all in groups of at most SMALL.  Larger
-   or salted groups are crowds.  A pair that shares 1 + SPARE keys, those of crowds counted as if shared, is a candidate.
-4. Each class is verified, on the whole sets, against the partner it shares most keys with.  Sets of a partner's
+   or salted groups are crowds.  A pair that shares 1 + SPARE keys, those of crowds counted as if shared, is a candidate
+   if the short sketches are close enough.
+4. Each class is verified, on the whole sets, against the candidate it shares most keys with.  Sets of a partner's
    members are streamed past it, salted beyond MEMBERS of them.  Of the other candidates only those go on that are not
-   connected by then and whose short sketches (4096 bits, parity over the whole set) are close enough.
+   connected by then.
 5. A linked pair that step 3 did not see shares 1 + SPARE keys whose groups are all crowds.  Classes in that many crowds
-   which still span several components are compared with the other components of their crowds, by short sketches and
-   block by block in tasks of their own: first each class with its nearest, then, once those links have merged
-   components, with all that remain near enough.  So no link that joins two components is lost, no crowd is expanded
-   into pairs, and only near pairs get to be verified.
+   which still span several components are compared with the other components of their crowds, but for each class's
+   SPARE largest crowds, in which no pair shares its first, by short sketches and block by block in tasks of their own:
+   first each class with its nearest, then, once those links have merged components, with all that remain near enough.
+   So no link that joins two components is lost, no crowd is expanded into pairs, and only near pairs get verified.
+
+Tables between the steps are deleted once they were read.
 
 Defined results: null texts and texts without a word have no shingle and link with nothing; fewer words than a shingle
 has make one shingle; a row with a null id links with nothing and has itself no component; repeated rows and ids each
@@ -32,6 +37,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,21 +47,24 @@ from pyspark.sql import types as T
 
 from kinora.llm.batches import code_points, mix64, text_slices, texts_of
 from kinora.operators.components import connected_components
-from kinora.session import stored
+from kinora.session import discard, stored
 
-NODE = 12
 #: Blocks beyond those that the pigeonhole needs: with them chance matches of single blocks are no candidates.
 SPARE = 3
 #: Groups of at most so many classes are compared all with all, others with their smallest member first.
 SMALL = 16
 #: Classes of a batch that share a key before it is salted, and the salts.
 HOT, SALTS = 64, 64
-#: Keys that are packed together, about.
-ENTRIES = 1 << 20
+#: Keys that are packed together, and keys of a partition, about.
+ENTRIES, PART_KEYS = 1 << 20, 1 << 20
 #: Members streamed past one partner in one go.
 MEMBERS = 2_000
-#: Bytes of a short sketch, and classes of a crowd that are compared in one block.
-SKETCH, BLOCK = 512, 1_000
+#: Bits of the shortest and of the longest short sketch, and classes of a crowd that are compared in one block.
+SKETCH_BITS, BLOCK = (64, 1 << 14), 1_000
+#: Classes whose first number is another one's, at most; of n classes about n * n / 2 ** 65 are to be expected.
+CLASHES = 10_000
+#: Partners of a class that are sent with one reading of its text, about.
+USES = 64
 #: Rows that a broadcast table may have; beyond that the join shuffles.
 BROADCAST_ROWS = 300_000
 STEP_BYTES = 1 << 20
@@ -110,8 +119,21 @@ def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
     return [h[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
 
-def node_of(shingles: np.ndarray) -> bytes:
-    return hashlib.blake2b(shingles.tobytes(), digest_size=NODE).digest()
+def number_of(shingles: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """The set's number, cut to ``bits`` bits, and the one to use instead should another set have it."""
+    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], signed=True) >> (64 - bits), int.from_bytes(digest[8:], signed=True)
+
+
+class Numbers:
+    """Numbers of sets, with the first numbers that more than one set has."""
+
+    def __init__(self, bits: int = 64, clashing: frozenset[int] = frozenset()):
+        self.bits, self.clashing = bits, clashing
+
+    def __call__(self, shingles: np.ndarray) -> int:
+        first, second = number_of(shingles, self.bits)
+        return second if first in self.clashing else first
 
 
 class Bands:
@@ -153,8 +175,19 @@ def block_keys(shingles: np.ndarray, band: int, blocks: int) -> np.ndarray:
 
 
 def short_sketch(shingles: np.ndarray) -> bytes:
-    """Parity of the set over 8 * SKETCH bits."""
-    return np.packbits(np.bincount((mix64(shingles) >> np.uint64(20) & np.uint64(8 * SKETCH - 1)).astype(np.int64), minlength=8 * SKETCH) & 1 == 1).tobytes()
+    """Parity of the whole set over a power of two of bits, about two for each shingle; half as many by `folded`."""
+    least, most = SKETCH_BITS
+    bits = max(least, min(most, 1 << (2 * len(shingles) - 1).bit_length()))
+    at = (mix64(shingles) >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits) & 1 == 1, bitorder="little").tobytes()
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Rows of 64-bit words as sketches of fewer words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
 
 
 def keys_of(shingles: np.ndarray, bands: Bands) -> np.ndarray:
@@ -163,30 +196,45 @@ def keys_of(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
 
-def classes(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, node) for every row, stored; node is null without shingles or id."""
+def classes(docs: DataFrame, size: int, bits: int = 64) -> tuple[DataFrame, Numbers]:
+    """(doc_id, n_shingles, node, sketch) for every row, stored; node is null without shingles or id."""
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, limit=STEP_BYTES):
                 sets, ids = shingle_sets(texts_of(part), size), part.column("doc_id").to_pylist()
-                nodes = [node_of(s) if len(s) and i is not None else None for s, i in zip(sets, ids)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary())], names=["doc_id", "n_shingles", "node"])
-
-    return stored(kept.mapInArrow(run, "doc_id long, n_shingles long, node binary"), "classes")
-
-
-def _entries(docs: DataFrame, size: int, bands: Bands, parts: int, most: int) -> DataFrame:
-    """Packed (part, nodes, keys, places): block keys, the classes they are of, by the partition they go to."""
+                known = [(*number_of(s, bits), short_sketch(s)) if len(s) and i is not None else (None,) * 3 for s, i in zip(sets, ids)]
+                columns = zip(zip(*known), [pa.int64(), pa.int64(), pa.binary()])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, k) for c, k in columns)], names=["doc_id", "n_shingles", "first", "second", "sketch"])
+
+    found = stored(kept.mapInArrow(run, "doc_id long, n_shingles long, first long, second long, sketch binary"), "classes")
+    same = lambda key: found.where("first is not null").groupBy(key.alias("node")).agg(F.min("second").alias("x"), F.max("second").alias("y")).where("x <> y").select("node")
+    clashing = [r.node for r in same(F.col("first")).limit(CLASHES + 1).collect()]
+    if len(clashing) > CLASHES:
+        raise ValueError("too many sets share their numbers")
+    node = F.when(F.col("first").isin(clashing), F.col("second")).otherwise(F.col("first")) if clashing else F.col("first")
+    if clashing and not same(node).isEmpty():
+        raise ValueError("two sets share both of their numbers")
+    out = found.select("doc_id", "n_shingles", node.alias("node"), "sketch")
+    out._stored_at = found._stored_at
+    return out, Numbers(bits, frozenset(clashing))
+
+
+def _entries(docs: DataFrame, size: int, bands: Bands, parts: int, most: int, number: Numbers) -> DataFrame:
+    """Packed (part, nodes, keys, places): block keys, the classes they are of, by the partition they go to.
+
+    A key is a partition and 31 bits within it, with a last bit that marks it as dealt over salts.  Rows of a key's own
+    partition hold its lower four bytes alone.  Without ``places`` there is a class for each key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bytes, np.ndarray] = {}
+        found: dict[int, np.ndarray] = {}
         held = 0
         for batch in batches:
             for part in text_slices(batch, limit=STEP_BYTES):
                 for s in shingle_sets(texts_of(part), size):
-                    if len(s) and (node := node_of(s)) not in found and len(k := keys_of(s, bands)):
+                    if len(s) and (node := number(s)) not in found and len(k := keys_of(s, bands)):
                         found[node] = k
                         held += len(k)
                 if held >= ENTRIES:
@@ -195,68 +243,69 @@ def _entries(docs: DataFrame, size: int, bands: Bands, parts: int, most: int) ->
         if found:
             yield packed(found)
 
-    def packed(found: dict[bytes, np.ndarray]) -> pa.RecordBatch:
-        order = sorted(found)
-        nodes = np.frombuffer(b"".join(order), dtype=f"V{NODE}")
-        keys = np.concatenate([found[n] for n in order]) & ~np.uint64(1)
-        place = np.repeat(np.arange(len(order)), [len(found[n]) for n in order])
+    def packed(found: dict[int, np.ndarray]) -> pa.RecordBatch:
+        nodes = np.array(sorted(found), dtype=np.int64)
+        hashes = mix64(np.concatenate([found[n] for n in nodes.tolist()]))
+        keys = hashes % np.uint64(parts) << np.uint64(32) | hashes >> np.uint64(33) << np.uint64(1)
+        place = np.repeat(np.arange(len(nodes)), [len(found[n]) for n in nodes.tolist()])
         by = np.argsort(keys, kind="stable")
         keys, place = keys[by], place[by]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        lead = np.concatenate([[True], keys[1:] != keys[:-1]])
+        first = np.flatnonzero(lead)
         many = np.diff(np.append(first, len(keys)))
         hot = np.repeat(many > most, many)
-        lead = np.zeros(len(keys), dtype=bool)
-        lead[first] = True
         own = ~hot | lead
-        raw = nodes.view(np.uint8).reshape(-1, NODE)[:, :8].copy().view(np.uint64).ravel()
-        salt = mix64(raw[place[hot]]) % np.uint64(SALTS)
-        key = np.concatenate([keys[own] | hot[own].astype(np.uint64), keys[hot] | np.uint64(1)])
-        whose = np.concatenate([place[own], place[hot]])
-        route = np.concatenate([mix64(keys[own]), mix64(keys[hot] + (salt + np.uint64(1)) * _FACTOR)]) % np.uint64(parts)
-        by = np.argsort(route, kind="stable")
-        key, whose, route = key[by], whose[by], route[by]
-        cuts = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1], [True]]))
-        rows = []
+        rows = list(cut(keys[own] | hot[own].astype(np.uint64), place[own], (keys[own] >> np.uint64(32)).astype(np.int64), False))
+        if hot.any():
+            salt = mix64(nodes[place[hot]].view(np.uint64)) % np.uint64(SALTS)
+            salted = mix64(keys[hot] + (salt + np.uint64(1)) * _FACTOR) % np.uint64(parts)
+            by = np.argsort(salted, kind="stable")
+            rows += cut(keys[hot][by] | np.uint64(1), place[hot][by], salted[by].astype(np.int64), True)
+        columns = zip(*((part, salted, nodes[used].tobytes(), key, index) for part, salted, used, key, index in rows))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int32(), pa.bool_(), *[pa.binary()] * 3])], names=["part", "salted", "nodes", "keys", "places"])
+
+    def cut(key: np.ndarray, place: np.ndarray, part: np.ndarray, salted: bool) -> Iterator[tuple]:
+        """Runs of one partition: its number, whether keys are salted, the places of its classes, keys, and whose each is."""
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
         for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
-            used, index = np.unique(whose[a:b], return_inverse=True)
-            rows.append((int(route[a]), nodes[used].tobytes(), key[a:b].tobytes(), index.astype("<u4" if len(used) > 65535 else "<u2").tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32(), pa.binary(), pa.binary(), pa.binary()])], names=["part", "nodes", "keys", "places"])
+            used, index = np.unique(place[a:b], return_inverse=True)
+            wide = "<u4" if len(used) > 65535 else "<u2"
+            apart = 8 * len(used) + int(wide[-1]) * (b - a) >= 8 * (b - a)
+            yield int(part[a]), salted, place[a:b] if apart else used, key[a:b].astype("<u8" if salted else "<u4").tobytes(), b"" if apart else index.astype(wide).tobytes()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, nodes binary, keys binary, places binary")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, salted boolean, nodes binary, keys binary, places binary")
 
 
-PAIRS = "a binary, b binary, shared long, crowd long"
+PAIRS = "a long, b long, shared int, crowd long"
 
 
 def _pairs(entries: DataFrame, parts: int, small: int) -> DataFrame:
     """(a, b, shared keys) of candidate pairs, and (null, member, null, crowd) for members of groups over ``small``.
 
-    One task holds the entries of its partition as arrays: eight bytes a key and four a class number.
+    One task holds the distinct entries of its partition as arrays, sixteen bytes each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, keys, places, total = [], [], [], 0
+        held, fresh = _no_entries(), [_no_entries()]
         for batch in batches:
-            for nodes, key, place in zip(*(batch.column(c).to_pylist() for c in ("nodes", "keys", "places"))):
-                keys.append(np.frombuffer(key, dtype=np.uint64))
-                kind = "<u2" if len(place) == 2 * len(keys[-1]) else "<u4"
-                places.append(np.frombuffer(place, dtype=kind).astype(np.int64) + total)
-                known.append(np.frombuffer(nodes, dtype=f"V{NODE}"))
-                total += len(known[-1])
-        if not keys:
+            for part, salted, nodes, key, place in zip(*(batch.column(c).to_pylist() for c in ("part", "salted", "nodes", "keys", "places"))):
+                key = np.frombuffer(key, dtype="<u8") if salted else np.frombuffer(key, dtype="<u4") | np.uint64(part << 32)
+                nodes = np.frombuffer(nodes, dtype=np.int64)
+                fresh.append((key, nodes[np.frombuffer(place, dtype=f"<u{len(place) // len(key)}")] if place else nodes))
+            if sum(len(k) for k, _ in fresh) > PART_KEYS:
+                held, fresh = _distinct(held, *fresh), []
+        keys, members = _distinct(held, *fresh)
+        del held, fresh
+        if not len(keys):
             return
-        names, number = _numbered(np.concatenate(known))
-        keys, places = np.concatenate(keys), number[np.concatenate(places)]
-        del known
-        salted, keys = (keys & np.uint64(1)).astype(bool), keys & ~np.uint64(1)
-        order = np.lexsort((places, keys))
-        keys, places, salted = keys[order], places[order], salted[order]
-        fresh = np.ones(len(keys), dtype=bool)
-        fresh[1:] = (keys[1:] != keys[:-1]) | (places[1:] != places[:-1])
+        names, places = np.unique(members, return_inverse=True)
+        dealt, keys = (keys & np.uint64(1)).astype(np.int64), keys & ~np.uint64(1)
+        order = np.lexsort((dealt, places, keys))  # a class may have a key both with and without the mark
+        keys, places, dealt = keys[order], places[order], dealt[order]
+        last = np.concatenate([(keys[1:] != keys[:-1]) | (places[1:] != places[:-1]), [True]])
+        keys, places, dealt = keys[last], places[last], dealt[last]
         group = np.cumsum(np.concatenate([[True], keys[1:] != keys[:-1]])) - 1
-        dealt = np.bincount(group, weights=salted) > 0
-        keys, places, group = keys[fresh], places[fresh], group[fresh]
-        many = np.bincount(group)
+        many, dealt = np.bincount(group), np.bincount(group, weights=dealt) > 0
         first = np.cumsum(many) - many
         a, b = [places[first[group]]], [places]
         for k in range(1, small):  # the k-th member of small groups with the later ones
@@ -273,32 +322,30 @@ def _pairs(entries: DataFrame, parts: int, small: int) -> DataFrame:
         for at in range(0, len(pair), 50_000):
             p, n = pair[at : at + 50_000], shared[at : at + 50_000]
             yield _rows(names[p // len(names)], names[p % len(names)], n, None)
-        crowded = ((many > small) | dealt)[group]
-        for at in range(0, len(keys), 50_000):
-            some = np.flatnonzero(crowded[at : at + 50_000]) + at
-            if len(some):
-                yield _rows(None, names[places[some]], None, keys[some].view(np.int64))
+        crowded = np.flatnonzero(((many > small) | dealt)[group])
+        for at in range(0, len(crowded), 50_000):
+            some = crowded[at : at + 50_000]
+            yield _rows(None, names[places[some]], None, keys[some].view(np.int64))
+
+    return entries.repartitionById(parts, F.col("part")).mapInArrow(run, PAIRS)
 
-    return entries.repartition(parts, "part").mapInArrow(run, PAIRS)
 
+def _no_entries() -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
 
-def _numbered(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct nodes in byte order, and each node's number among them."""
-    raw = nodes.view(np.uint8).reshape(-1, NODE)
-    high, low = raw[:, :8].copy().view(">u8").ravel().astype(np.uint64), raw[:, 8:].copy().view(">u4").ravel()
-    order = np.lexsort((low, high))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
-    number = np.empty(len(order), dtype=np.int64)
-    number[order] = np.cumsum(new) - 1
-    return nodes[order[new]], number
+
+def _distinct(*entries: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys, members = (np.concatenate(x) for x in zip(*entries))
+    order = np.lexsort((members, keys))
+    keys, members = keys[order], members[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (members[1:] != members[:-1])
+    return keys[new], members[new]
 
 
 def _rows(a, b: np.ndarray, shared, crowd) -> pa.RecordBatch:
-    n = len(b)
-    fixed = lambda x: pa.array([None] * n, pa.binary()) if x is None else pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, NODE * n + 1, NODE, dtype=np.int32)), pa.py_buffer(x.tobytes())])
-    whole = lambda x: pa.array([None] * n if x is None else x, pa.int64())
-    return pa.RecordBatch.from_arrays([fixed(a), fixed(b), whole(shared), whole(crowd)], names=["a", "b", "shared", "crowd"])
+    columns = [pa.array([None] * len(b) if x is None else x, k) for x, k in zip((a, b, shared, crowd), (pa.int64(), pa.int64(), pa.int32(), pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "shared", "crowd"])
 
 
 def joined_by_size(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int | None = None) -> DataFrame:
@@ -306,8 +353,8 @@ def joined_by_size(left: DataFrame, right: DataFrame, on, how: str = "inner", ro
     return left.join(F.broadcast(right) if (right.count() if rows is None else rows) <= BROADCAST_ROWS else right, on, how)
 
 
-def _verified(docs: DataFrame, sources: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The stored (a, b) of ``pairs`` whose sets have 100 * intersection >= percent * union.
+def _verified(docs: DataFrame, sources: DataFrame, pairs: DataFrame, size: int, percent: int, number: Numbers) -> DataFrame:
+    """The stored (a, b) of the stored ``pairs`` whose sets have 100 * intersection >= percent * union.
 
     ``sources`` names one document per class.  Each document sends its set once for each pair and once as a partner,
     with the partner's members dealt over salts; a task then holds one partner's set at a time.
@@ -315,21 +362,22 @@ def _verified(docs: DataFrame, sources: DataFrame, pairs: DataFrame, size: int,
     crowd = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
     members = pairs.join(crowd, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     partners = crowd.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    wanted = members.unionByName(partners).groupBy("node").agg(F.collect_list(F.struct("a", "salt", "role")).alias("for"))
-    wanted = stored(wanted.join(sources, "node"), "wanted")
-    uses = wanted.agg(F.sum(F.size("for"))).first()[0] or 0
-    texts = joined_by_size(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), wanted, "doc_id", rows=uses)
+    uses = stored(members.unionByName(partners), "uses")
+    often = uses.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / USES).cast("int").alias("readings"))
+    wanted = uses.join(often, "node").groupBy("node", F.pmod(F.xxhash64("a", "salt"), F.col("readings")).alias("reading")).agg(F.collect_list(F.struct("a", "salt", "role")).alias("for"))
+    wanted = stored(wanted.join(sources, "node").select("doc_id", "node", "for"), "wanted")
+    texts = joined_by_size(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), wanted, "doc_id", rows=uses.count())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, limit=STEP_BYTES):
                 sets = shingle_sets(texts_of(part), size)
                 for s, node, uses in zip(sets, part.column("node").to_pylist(), part.column("for").to_pylist()):
-                    if node_of(s) == node:
+                    if len(s) and number(s) == node:
                         for at in range(0, len(uses), 64):
                             some = uses[at : at + 64]
                             yield pa.RecordBatch.from_arrays(
-                                [pa.array([u["a"] for u in some], pa.binary()), pa.array([u["salt"] for u in some], pa.int32()), pa.array([u["role"] for u in some], pa.int32()), pa.array([node] * len(some), pa.binary()), pa.array([s.tobytes()] * len(some), pa.binary())],
+                                [pa.array([u["a"] for u in some], pa.int64()), pa.array([u["salt"] for u in some], pa.int32()), pa.array([u["role"] for u in some], pa.int32()), pa.array([node] * len(some), pa.int64()), pa.array([s.tobytes()] * len(some), pa.binary())],
                                 names=["a", "salt", "role", "node", "shingles"],
                             )
 
@@ -349,63 +397,66 @@ def _verified(docs: DataFrame, sources: DataFrame, pairs: DataFrame, size: int,
                 if 100 * both >= percent * (len(mine) + len(theirs) - both):
                     a.append(lead)
                     b.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    sets = texts.select("text", "node", "for").mapInArrow(send, "a binary, salt int, role int, node binary, shingles binary")
-    return stored(sets.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, "a binary, b binary"), "links").distinct()
+    sets = texts.select("text", "node", "for").mapInArrow(send, "a long, salt int, role int, node long, shingles binary")
+    links = stored(sets.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, "a long, b long").distinct(), "links")
+    discard(uses, wanted)
+    return links
 
 
-def node_components(docs: DataFrame, found: DataFrame, size: int, percent: int, small: int = SMALL, hot: int = HOT) -> DataFrame:
-    """(id, component) for the classes that link with another class; see the module's steps 2 to 5."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def node_components(docs: DataFrame, found: DataFrame, number: Numbers, size: int, percent: int, small: int = SMALL, hot: int = HOT) -> DataFrame:
+    """(id, component), stored, for the classes that link with another class; see the module's steps 2 to 5."""
+    shingles = found.agg(F.sum("n_shingles")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-4 * (100 - percent) * shingles // ((100 + percent) * PART_KEYS)))
     sources = stored(found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "sources")
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    raw = stored(_pairs(_entries(texts, size, Bands(percent), parts, hot), parts, small), "candidates")
-    crowds = raw.where("crowd is not null").select("crowd", F.col("b").alias("id")).distinct()
+    raw = stored(_pairs(_entries(texts, size, Bands(percent), parts, hot, number), parts, small), "candidates")
+    crowds = stored(raw.where("crowd is not null").select("crowd", F.col("b").alias("id")).distinct(), "crowds")
     pairs = stored(_candidates(raw.where("a is not null"), crowds), "pairs")
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-    links = _verified(docs, sources, best, size, percent)
-    groups = stored(connected_components(links, "a", "b"), "components")
-
-    left = stored(_apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), groups), "left")
+    discard(raw)
+    sketches = found.where("node is not null").join(sources, ["node", "doc_id"]).select(F.col("node").alias("id"), F.col("n_shingles").alias("n"), "sketch")
+    near = stored(_near(pairs, sketches, percent), "near")
+    discard(pairs)
+
+    best = stored(near.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select("best.a", "b"), "best")
+    links = [_verified(docs, sources, best, size, percent, number)]
+    groups = stored(connected_components(links[0], "a", "b"), "components")
+    left = _apart(near.select("a", "b").join(best, ["a", "b"], "left_anti"), groups)
     unseen = stored(_unseen(crowds, groups), "unseen")
-    doubtful = left.select(F.col("a").alias("node")).union(left.select("b")).union(unseen.select("id")).distinct()
-    sketches = _sketches(docs, stored(doubtful.join(sources, "node"), "doubtful"), size)
-    near = _near(left, sketches, percent)
-    tested = stored(near.unionByName(_crowd_pairs(unseen, sketches, percent, nearest=True)).distinct(), "near")
-    if tested.isEmpty():
-        return groups
-    links = links.unionByName(_verified(docs, sources, tested, size, percent))
-    groups = stored(connected_components(links, "a", "b"), "components")
-    rest = unseen.select("crowd", "id").join(groups, "id", "left").select("crowd", "id", F.coalesce("component", "id").alias("component"))
-    rest = stored(_crowd_pairs(rest, sketches, percent, nearest=False).distinct().join(tested, ["a", "b"], "left_anti"), "rest")
-    if rest.isEmpty():
-        return groups
-    links = links.unionByName(_verified(docs, sources, rest, size, percent))
-    return stored(connected_components(links, "a", "b"), "components")
-
-
-def _unseen(crowds: DataFrame, groups: DataFrame) -> DataFrame:
-    """(crowd, id, component) in crowds of several components, of classes that may have a link there not yet seen."""
-    member = crowds.join(groups, "id", "left").select("crowd", "id", F.coalesce("component", "id").alias("component"))
+    discard(crowds)
+    pool = stored(unseen.select("id").distinct().join(sketches, "id"), "sketches")
+    tested = stored(left.unionByName(_crowd_pairs(unseen, pool, percent, nearest=True)).distinct(), "tested")
+    for nearest in (True, False):
+        # first what is left and each class's nearest; once these have merged components, all that are near enough
+        fresh = tested if nearest else stored(_crowd_pairs(_several(unseen.select("crowd", "id"), groups), pool, percent, nearest=False).distinct().join(tested, ["a", "b"], "left_anti"), "rest")
+        if not fresh.isEmpty():
+            links.append(_verified(docs, sources, fresh, size, percent, number))
+            discard(groups)
+            groups = stored(connected_components(reduce(DataFrame.unionByName, links), "a", "b"), "components")
+        if not nearest:
+            discard(fresh)
+    discard(sources, near, best, unseen, pool, tested, *links)
+    return groups
+
+
+def _several(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(crowd, id, component) in crowds of several components."""
+    member = members.join(groups, "id", "left").select("crowd", "id", F.coalesce("component", "id").alias("component"))
     apart = member.groupBy("crowd").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("crowd")
-    member = member.join(apart, "crowd", "left_semi")
-    often = member.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPARE).select("id")
-    return member.join(often, "id", "left_semi").select("crowd", "id", "component")
-
+    return member.join(apart, "crowd", "left_semi")
 
-def _sketches(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(id, n, sketch) of the classes in the stored ``nodes`` (node, doc_id), stored."""
-    texts = joined_by_size(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), nodes, "doc_id").select("node", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, limit=STEP_BYTES):
-                rows = [(node, len(s), short_sketch(s)) for s, node in zip(shingle_sets(texts_of(part), size), part.column("node").to_pylist()) if node_of(s) == node]
-                columns = list(zip(*rows)) or [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.binary(), pa.int64(), pa.binary()])], names=["id", "n", "sketch"])
+def _unseen(crowds: DataFrame, groups: DataFrame) -> DataFrame:
+    """(crowd, id, component) in crowds of several components, of classes that may have a link there not yet seen.
 
-    return stored(texts.mapInArrow(run, "id binary, n long, sketch binary").dropDuplicates(["id"]), "sketches")
+    Such a link shares more than SPARE crowds, so its first one, by size, is among no class's SPARE last ones.
+    """
+    member = _several(crowds, groups)
+    sized = member.join(member.groupBy("crowd").agg(F.count(F.lit(1)).alias("members")), "crowd")
+    ordered = F.sort_array(F.collect_list(F.struct("members", "crowd")))
+    first = sized.groupBy("id", "component").agg(ordered.alias("crowds")).where(F.size("crowds") > SPARE)
+    return first.select("id", "component", F.explode(F.slice("crowds", F.lit(1), F.size("crowds") - SPARE)).alias("of")).select("of.crowd", "id", "component")
 
 
 def _close(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -415,24 +466,35 @@ def _close(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent:
     return np.where(alike, (100 - percent) * (n + m) // (100 + percent) - apart, -1)
 
 
-def _words(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, SKETCH // 8)
+def _words(sketches: list[bytes], words: int) -> np.ndarray:
+    """The sketches as rows of as many words, longer ones folded."""
+    lengths = np.array([len(s) // 8 for s in sketches])
+    out = np.empty((len(sketches), words), dtype=np.uint64)
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        out[at] = folded(np.frombuffer(b"".join(sketches[k] for k in at.tolist()), dtype=np.uint64).reshape(-1, n), words)
+    return out
 
 
 def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose short sketches allow a link."""
+    """The (a, b, shared) of ``pairs`` whose short sketches allow a link."""
     both = pairs
     for c in ("a", "b"):
         both = both.join(sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
+    both = both.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-                keep = _close(_words(batch.column("sketch_a")), _words(batch.column("sketch_b")), n, m, percent) >= 0
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
+        for batch in (whole.slice(at, 1_000) for whole in batches for at in range(0, whole.num_rows, 1_000)):
+            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            x, y = (batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b"))
+            words = np.array([min(len(s), len(t)) // 8 for s, t in zip(x, y)])
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for w in np.unique(words).tolist():
+                at = np.flatnonzero(words == w)
+                keep[at] = _close(*(_words([z[k] for k in at.tolist()], w) for z in (x, y)), n[at], m[at], percent) >= 0
+            yield batch.select(["a", "b", "shared"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "shared", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, shared long")
 
 
 def _crowd_pairs(members: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
@@ -443,11 +505,12 @@ def _crowd_pairs(members: DataFrame, sketches: DataFrame, percent: int, nearest:
     rows = rows.select("crowd", "id", "component", "n", "sketch", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, block, n, x = table.column("id").to_pylist(), table.column("block").to_numpy(), table.column("n").to_numpy(), _words(table.column("sketch"))
-        _, component = np.unique(np.array(table.column("component").to_pylist(), dtype=f"V{NODE}").view(np.uint8).reshape(-1, NODE), axis=0, return_inverse=True)
+        ids, component, block, n = (table.column(c).to_numpy() for c in ("id", "component", "block", "n"))
+        sketches = table.column("sketch").to_pylist()
+        x = _words(sketches, min(map(len, sketches)) // 8)  # one crowd's sizes lie in neighbouring bands
         first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        found: set[tuple[bytes, bytes]] = set()
+        found: set[tuple[int, int]] = set()
         for k in left.tolist():
             others = right[component[right] != component[k]]
             if first == second and not nearest:
@@ -460,9 +523,9 @@ def _crowd_pairs(members: DataFrame, sketches: DataFrame, percent: int, nearest:
                 chosen = [others[close.argmax()]]
             found |= {(min(ids[k], ids[o]), max(ids[k], ids[o])) for o in chosen}
         a, b = zip(*found) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("crowd", "i", "j").applyInArrow(compare, "a binary, b binary")
+    return rows.groupBy("crowd", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _candidates(pairs: DataFrame, crowds: DataFrame) -> DataFrame:
@@ -481,10 +544,10 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return both.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, small: int = SMALL, hot: int = HOT) -> DataFrame:
+def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, small: int = SMALL, hot: int = HOT, bits: int = 64) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
-    found = classes(docs, size)
-    groups = node_components(docs, found, size, percent, small, hot)
+    found, number = classes(docs, size, bits)
+    groups = node_components(docs, found, number, size, percent, small, hot)
     ids = found.where("node is not null").select("node", "doc_id").distinct()
     member = ids.join(groups.withColumnRenamed("id", "node"), "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
     # an id that stands for several texts connects their components
@@ -493,9 +556,10 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, small: int
     if not joint.isEmpty():
         merged = connected_components(joint, "component", "least")
         member = member.join(merged.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left").select("doc_id", F.coalesce("_to", "component").alias("component"))
-    least = member.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    named = member.join(least, "component").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    least = stored(member.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1"), "least")
+    named = joined_by_size(member, least, "component").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     named = stored(named, "named")
+    discard(groups, joint, least)
     out = joined_by_size(found.select("doc_id", "n_shingles"), named, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -505,32 +569,34 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     An id with several texts is judged text by text, and keeps one row, the first by a hash, of those that are linked.
     """
-    found = classes(docs, size)
-    groups = node_components(docs, found, size, percent, SMALL, HOT)
+    found, number = classes(docs, size)
+    groups = node_components(docs, found, number, size, percent)
     ids = found.where("node is not null").select("node", "doc_id").distinct()
     member = ids.join(groups.withColumnRenamed("id", "node"), "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
-    least = member.groupBy("component").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = stored(member.join(least, "component").where("doc_id <> least").select("doc_id", "node"), "gone")
+    least = stored(member.groupBy("component").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "least")
+    gone = stored(joined_by_size(member, least, "component").where("doc_id <> least").select("doc_id", "node"), "gone")
     repeated = stored(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
+        discard(found, groups, least, repeated)
         return joined_by_size(docs, gone.select("doc_id"), "doc_id", "left_anti")
     single = joined_by_size(joined_by_size(docs, repeated, "doc_id", "left_anti"), gone.select("doc_id"), "doc_id", "left_anti")
-    several = _with_node(joined_by_size(docs, repeated, "doc_id", "left_semi"), size)
+    several = _with_node(joined_by_size(docs, repeated, "doc_id", "left_semi"), size, number)
     several = joined_by_size(several, gone.withColumnRenamed("node", "_node"), ["doc_id", "_node"], "left_anti")
     linked = stored(joined_by_size(member, repeated, "doc_id", "left_semi").select("doc_id", F.col("node").alias("_node"), F.col("component").alias("_component")), "linked")
+    discard(found, groups, least)
     several = joined_by_size(several, linked, ["doc_id", "_node"], "left")
     order = F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))
     several = several.groupBy("doc_id", "_component", F.when(F.col("_component").isNull(), F.xxhash64("text")).alias("_text")).agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
     return single.unionByName(several.select("row.*"))
 
 
-def _with_node(docs: DataFrame, size: int) -> DataFrame:
+def _with_node(docs: DataFrame, size: int, number: Numbers) -> DataFrame:
     """``docs`` with the class of each text as ``_node``; null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, limit=STEP_BYTES):
-                nodes = [node_of(s) if len(s) else None for s in shingle_sets(texts_of(part), size)]
-                yield part.append_column("_node", pa.array(nodes, pa.binary()))
+                nodes = [number(s) if len(s) else None for s in shingle_sets(texts_of(part), size)]
+                yield part.append_column("_node", pa.array(nodes, pa.int64()))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_node", T.BinaryType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))

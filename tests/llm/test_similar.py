@@ -77,7 +77,8 @@ def test_bands_and_pigeonhole(percent):
         if 100 * both >= percent * (len(a) + len(b) - both) and not np.array_equal(a, b):
             assert abs(bands.of(len(a)) - bands.of(len(b))) <= 1
             assert len(np.intersect1d(similar.keys_of(a, bands), similar.keys_of(b, bands))) > similar.SPARE
-            x, y = (np.frombuffer(similar.short_sketch(v), dtype=np.uint64) for v in (a, b))
+            x, y = (similar.short_sketch(v) for v in (a, b))
+            x, y = (similar._words([v], min(len(x), len(y)) // 8)[0] for v in (x, y))
             assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
             assert similar._close(x, y[None], len(a), np.array([len(b)]), percent)[0] >= 0
 
@@ -101,6 +102,32 @@ def test_equals_brute_force_with_five_words_and_tight_limits(spark, monkeypatch)
     assert sorted(map(tuple, similar.similar_groups(docs, small=2, hot=2).collect()), key=str) == brute(rows, 5, 80)
 
 
+def test_sets_that_share_their_first_number(spark):
+    """With four bits many sets share one and go by their second number."""
+    rows = fixture(3, groups=8, copies=5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(map(tuple, similar.similar_groups(docs, bits=4).collect()), key=str) == brute(rows, 5, 80)
+
+
+def test_a_crowd_of_copies_and_a_very_long_text(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(900)}" for _ in range(80)]
+    rows = [(k, " ".join(base)) for k in range(60)]
+    rows += [(100 + k, " ".join([*base[:k], "new", *base[k + 1 :]])) for k in range(70)]
+    long = [f"w{rng.randrange(900)}" for _ in range(60_000)]
+    rows += [(300, " ".join(long)), (301, " ".join([*long[:-40], "tail"])), (302, " ".join(long[:30_000]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, similar.similar_groups(docs, hot=8).collect()), key=str) == brute(rows, 5, 80)
+
+
+def test_short_sketches_fold():
+    rng = np.random.default_rng(4)
+    for n in (20, 40, 3000):
+        s = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        x = similar._words([similar.short_sketch(s)], 1)
+        assert int(np.bitwise_count(x).sum()) % 2 == n % 2 and x.shape == (1, 1)
+
+
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert similar.similar_groups(docs).count() == 0
