@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinora.llm.batches import text_slices
-from kinora.session import stored
+from kinora.session import discard, stored
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Words of a segment (a longer document is a segment of its own), and of a block of the test set.
@@ -257,22 +257,31 @@ def find_near(index: DataFrame, queries: dict[str, list[str]], span: int) -> Dat
     return index.mapInArrow(run, "doc_id long, query string, start long, end long")
 
 
+def _judged(index: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """What `find_phrases` finds, with n_hit and contaminated."""
+    found = find_phrases(index, benchmark).withColumn("n_hit", united(F.col("runs")))
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = find_phrases(build_index(docs), benchmark).withColumn("n_hit", united(F.col("runs")))
-    return found.select(
+    return _judged(build_index(docs), benchmark).select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        "contaminated",
     )
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is not a contaminated document's; rows without an id stay."""
-    gone = stored(decontaminate(docs, benchmark).where("contaminated and doc_id is not null").select("doc_id").distinct(), "contaminated")
+    """The rows of ``docs`` but those of documents that repeat WINDOW words of the test set or more in a row, however long
+    the document, or are contaminated by shorter items; rows without an id stay."""
+    spoiled = F.col("contaminated") | F.exists("runs", lambda r: r["end"] - r["start"] >= WINDOW)
+    index = build_index(docs)
+    gone = stored(_judged(index, benchmark).where(spoiled & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "contaminated")
+    discard(index)
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
