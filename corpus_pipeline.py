@@ -2,7 +2,8 @@
 
 toxicity         drops documents that the classifier, trained on the rows of ``labels`` that may be learned from, rejects
 near_duplicates  keeps the document with the smallest id of each group of five-word Jaccard similarity 0.8 or more
-decontaminate    drops documents of whose words a twentieth or more repeats 13-word windows of ``benchmark``
+decontaminate    drops documents that repeat 13 words of ``benchmark`` or more in a row, or whose words are to a twentieth
+                 or more those of whole shorter items
 secrets          replaces secrets in the texts by a mark
 bpe              encodes the texts: ids, their number, and digests of ids and of the decoded bytes
 """
