@@ -17,9 +17,10 @@ from kinora import schema
 from kinora.config import Settings
 from kinora.functions.media import face_thumb, file_thumb
 from kinora.operators import catalog, groups, jobs, knn, scan, search, stats
-from kinora.session import stored
+from kinora.session import remove, stored
+from kinora.sources import images
 from kinora.sources.files import listing
-from kinora.sources.ingest import FaceDetector, detect_faces
+from kinora.sources.ingest import FaceDetector, detect_faces, found_in
 from kinora.sources.versions import Store
 
 TABLES = {
@@ -42,8 +43,10 @@ def _contents(paths: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Catalog:
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None):
+    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, codec: images.Codec | None = None):
+        """``codec`` decodes images and makes thumbnails, kept in ``thumbs`` below ``folder``, which workers share."""
         self.spark, self.store, self.settings = spark, Store(spark, folder), settings or Settings.of(spark)
+        self.codec, self.thumbs = codec or images.available(), f"{folder}/thumbs"
 
     def table(self, name: str) -> DataFrame:
         return self.store.read(name) if self.store.has(name) else self.spark.createDataFrame([], TABLES[name])
@@ -85,25 +88,23 @@ class Catalog:
         counts = scan.counters(found).first().asDict()
         todo = found.where("action = 'enqueue'")
         read = todo.select(F.col("abs_path").alias("path")).mapInPandas(_contents, "path string, content binary")
-        detected = stored(detect_faces(read, detector), "detected")
-        good = detected.where("ok").select(F.col("path").alias("abs_path")).distinct()
-        done = todo.join(good, "abs_path").select("abs_path", "root_id", "rel_path", F.col("size").alias("file_size"), "mtime")
+        detected = stored(detect_faces(read, detector, self.codec, self.settings.max_detect_side), "detected")
+        good = detected.where("ok").groupBy(F.col("path").alias("abs_path")).agg(*(F.first(c).alias(c) for c in ("width", "height", "exif")))
+        done = todo.join(good, "abs_path").select("abs_path", "root_id", "rel_path", F.col("size").alias("file_size"), "mtime", "width", "height", "exif")
         done = done.withColumn("file_thumb_rel", file_thumb(F.col("root_id"), F.col("rel_path")))
         always = {"indexed_at": now, "last_seen_at": now, "is_deleted": F.lit(False)}
         files = stored(catalog.merge_upsert(files, done, ["abs_path"], always), "files")
 
         ids = files.select(F.col("id").alias("file_id"), F.col("abs_path").alias("path"))
-        touched = good.withColumnRenamed("abs_path", "path").join(ids, "path").select("file_id")
+        touched = good.select(F.col("abs_path").alias("path")).join(ids, "path").select("file_id")
         box = [F.col("bbox")[k].alias(f"bbox_{c}") for k, c in enumerate(("x1", "y1", "x2", "y2"))]
         new = detected.where("face_index is not null").join(ids, "path").select("file_id", "face_index", *box, "det_score", "quality_score", "embedding", F.lit(False).alias("invalidated"), now.alias("created_at"))
         new = new.withColumn("face_thumb_rel", face_thumb(F.col("file_id"), F.col("face_index")))
+        files, new = self._with_thumbnails(files, new, good.select("abs_path"))
         faces = stored(catalog.replace_children(faces, new, "file_id", touched), "faces")
         seen = found.select("abs_path")
-        files = catalog.touch_seen(files, seen, now)
-        table = self.table("roots")
-        for root_id in roots:  # a handful of registered directories
-            files = catalog.soft_delete_missing(files, root_id, seen)
-            table = catalog.touch_root(table, root_id, now)
+        files = catalog.soft_delete_missing(catalog.touch_seen(files, seen, now), list(roots), seen)
+        table = catalog.touch_root(self.table("roots"), list(roots), now)
         counts["files_reindexed"], counts["errors"] = good.count(), detected.where("not ok").count()
         self.store.commit({
             "files": files,
@@ -116,6 +117,21 @@ class Catalog:
         })
         return counts
 
+    def _with_thumbnails(self, files: DataFrame, faces: DataFrame, read: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Write thumbnails of the files just read and of their faces; names of those not written become null."""
+        mine = files.join(read, "abs_path")
+        crops = faces.groupBy("file_id").agg(F.collect_list(F.struct(F.col("face_thumb_rel").alias("name"), F.array(*(f"bbox_{c}" for c in ("x1", "y1", "x2", "y2"))).alias("box"))).alias("faces"))
+        if self.codec is None:
+            made = read.select(F.col("abs_path").alias("path"), F.lit(None).cast("string").alias("thumb"), F.array().cast("array<string>").alias("faces"))
+        else:
+            wanted = mine.join(crops.withColumnRenamed("file_id", "id"), "id", "left").select(F.col("abs_path").alias("path"), F.col("file_thumb_rel").alias("thumb"), "faces")
+            made = stored(images.save_thumbnails(wanted, self.codec, self.thumbs), "thumbs")
+        told = files.join(made.select(F.col("path").alias("abs_path"), "thumb", F.lit(True).alias("_read")), "abs_path", "left")
+        told = told.withColumn("file_thumb_rel", F.when(F.col("_read"), F.col("thumb")).otherwise(F.col("file_thumb_rel"))).select(files.columns)
+        written = made.select(F.explode("faces").alias("face_thumb_rel"), F.lit(True).alias("_written"))
+        faces = faces.join(written, "face_thumb_rel", "left").withColumn("face_thumb_rel", F.when(F.col("_written"), F.col("face_thumb_rel"))).select(faces.columns)
+        return stored(told, "files"), faces
+
     # --- groups --------------------------------------------------------------------------------------------------
 
     def rebuild(self, k: int | None = None, threshold: float | None = None) -> dict:
@@ -154,7 +170,7 @@ class Catalog:
 
     def search_image(self, content: bytes, detector: FaceDetector, limit: int | None = None) -> DataFrame:
         """By the best face of an image; raises if there is none."""
-        found = detector.load().detect(content)
+        found = found_in(detector.load(), content, self.codec, self.settings.max_detect_side)
         if not found:
             raise ValueError("no face in the query image")
         return self.search([float(x) for x in max(found, key=lambda f: f["det_score"])["embedding"]], limit)
@@ -173,8 +189,9 @@ class Catalog:
         return stats.admin_counts(self.table("roots"), self.table("files"), self.table("faces"), self.table("face_groups")), self.list_roots(), jobs.latest(self.table("jobs")), self.store.size()
 
     def reset(self, clear_roots: bool = False) -> dict[str, int]:
-        """Empty the tables; returns the row counts from before."""
+        """Empty the tables and remove the thumbnails; returns the row counts from before."""
         tables = {n: self.table(n) for n in TABLES}
         counts = {r.table_name: r.n for r in catalog.reset_counts({n: tables[n] for n in ("files", "faces", "face_groups", "jobs", "roots")}).collect()}
         self.store.commit(catalog.emptied(tables, clear_roots))
+        remove(self.spark, self.thumbs)
         return counts

@@ -66,11 +66,15 @@ def released_representatives(groups: DataFrame, faces: DataFrame) -> DataFrame:
     return joined.withColumn("rep_face_id", F.col("_face")).select(*groups.columns)
 
 
-def soft_delete_missing(files: DataFrame, root_id: int, seen: DataFrame) -> DataFrame:
-    """Files of the root that are not among the seen paths become deleted; if nothing was seen, all of them do."""
+def _listed(ids: int | list[int]) -> list[int]:
+    return [ids] if isinstance(ids, int) else list(ids)
+
+
+def soft_delete_missing(files: DataFrame, root_ids: int | list[int], seen: DataFrame) -> DataFrame:
+    """Files of the roots that are not among the seen paths become deleted; if nothing was seen, all of them do."""
     there = seen.select(F.col("abs_path").alias("_path")).distinct()
     joined = files.join(there, F.col("abs_path") == F.col("_path"), "left")
-    gone = (F.col("root_id") == root_id) & ~F.col("is_deleted") & F.col("_path").isNull()
+    gone = F.col("root_id").isin(_listed(root_ids)) & ~F.col("is_deleted") & F.col("_path").isNull()
     return joined.withColumn("is_deleted", F.col("is_deleted") | F.coalesce(gone, F.lit(False))).select(*files.columns)
 
 
@@ -80,8 +84,8 @@ def touch_seen(files: DataFrame, seen: DataFrame, now: Column, column: str = "la
     return joined.withColumn(column, F.when(F.col("_path").isNotNull(), now).otherwise(F.col(column))).select(*files.columns)
 
 
-def touch_root(roots: DataFrame, root_id: int, now: Column) -> DataFrame:
-    return roots.withColumn("last_indexed_at", F.when(F.col("id") == root_id, now).otherwise(F.col("last_indexed_at")))
+def touch_root(roots: DataFrame, root_ids: int | list[int], now: Column) -> DataFrame:
+    return roots.withColumn("last_indexed_at", F.when(F.col("id").isin(_listed(root_ids)), now).otherwise(F.col("last_indexed_at")))
 
 
 def toggle(faces: DataFrame, face_id: int) -> DataFrame:

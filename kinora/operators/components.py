@@ -29,7 +29,7 @@ def _towards_smaller(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(id, component): the smallest id reachable, for every vertex that has an edge to another one.
+    """(id, component), stored: the smallest id reachable, for every vertex that has an edge to another one.
 
     Self loops, repeated edges and either direction are allowed; rows with a null end are ignored.
     """
@@ -46,4 +46,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         discard(now)
         now = following
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    found = stored(now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots), "components")
+    discard(now)
+    return found

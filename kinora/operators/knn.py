@@ -1,8 +1,9 @@
 """Exact k nearest neighbours by inner product, over a grid of blocks.
 
-Rows are dealt into blocks of a fixed number of rows; every pair of blocks is one task's matrix product, of which only
-the best k per query at or above the threshold go on, and a window picks the best k of those.  A task holds two blocks,
-however many rows there are, and nothing is broadcast.
+Rows are dealt into blocks of a fixed number of rows; every unordered pair of blocks is a task that ranks either block's
+rows among the other's.  Only the best k per query at or above the threshold go on, and a window picks the best k of
+those.  A task holds two blocks, however many rows there are, a vector is sent once for each block, and nothing is
+broadcast.
 """
 
 from __future__ import annotations
@@ -21,21 +22,26 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
 
-def _best(table: pa.Table, k: int, threshold: float) -> pa.Table:
-    ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
-    x = _matrix(table.column("embedding"))
-    left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-    out = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)]
-    right = right[np.argsort(ids[right], kind="stable")]
-    for at in range(0, len(left), 512):
-        rows = left[at : at + 512]
-        sims = x[rows] @ x[right].T
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # equal ones in the order of their ids
+def _best(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int, threshold: float) -> list[np.ndarray]:
+    """Query, neighbour and similarity of each query's best; ``others`` ascend, so equal ones come in the order of ids."""
+    out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+    for at in range(0, len(ids), 512):
+        sims = x[at : at + 512] @ y.T
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
         value = np.take_along_axis(sims, order, axis=1)
         r, c = np.nonzero(value >= threshold)
-        for n, part in enumerate((ids[rows[r]], ids[right[order[r, c]]], value[r, c])):
-            out[n] = np.concatenate([out[n], part])
-    return pa.table({"face_id": out[0], "nbr_face_id": out[1], "similarity": out[2]})
+        out.append((ids[at + r], others[order[r, c]], value[r, c]))
+    return [np.concatenate(part) for part in zip(*out)]
+
+
+def _both_ways(table: pa.Table, k: int, threshold: float) -> pa.Table:
+    table = table.sort_by("id")
+    ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
+    x = _matrix(table.column("embedding"))
+    first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    i, j = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    found = [_best(ids[p], x[p], ids[q], x[q], k, threshold) for p, q in ([(i, j), (j, i)] if first != second else [(i, i)])]
+    return pa.table(dict(zip(("face_id", "nbr_face_id", "similarity"), (np.concatenate(part) for part in zip(*found)))))
 
 
 def knn_edges(faces: DataFrame, k: int = 20, threshold: float = 0.55, block_size: int = 2048) -> DataFrame:
@@ -47,12 +53,9 @@ def knn_edges(faces: DataFrame, k: int = 20, threshold: float = 0.55, block_size
     """
     rows = faces.select(F.col("id").cast("long").alias("id"), "embedding").where(F.col("embedding").isNotNull())
     blocks = max(1, -(-rows.count() // block_size))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(every))
-    query = rows.select("id", "embedding", F.col("block").alias("i"), F.col("other").alias("j"), F.when(F.col("block") == F.col("other"), 0).otherwise(1).alias("side"))
-    data = rows.where("block <> other").select("id", "embedding", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(2).alias("side"))
-    found = query.unionByName(data).groupBy("i", "j").applyInArrow(lambda t: _best(t, k, threshold), SCHEMA)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = rows.select("id", "embedding", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    found = pairs.groupBy("i", "j").applyInArrow(lambda t: _both_ways(t, k, threshold), SCHEMA)
     order = Window.partitionBy("face_id").orderBy(F.desc("similarity"), F.asc("nbr_face_id"))
     best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     return best.where("face_id <> nbr_face_id").select("face_id", "nbr_face_id", "similarity")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -66,9 +68,13 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``stored`` wrote, once nothing reads them any more."""
     for t in tables:
-        context = t.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(t._stored_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        remove(t.sparkSession, t._stored_at)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -77,7 +83,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_kinora_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="kinora-")) / "kinora.zip"
+    folder = tempfile.mkdtemp(prefix="kinora-")  # the driver hands the archive out from here
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "kinora.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for file in sorted(root.rglob("*.py")):
             out.write(file, file.relative_to(root.parent))

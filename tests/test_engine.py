@@ -1,11 +1,10 @@
-from fractions import Fraction
-
+import numpy as np
 import pytest
 
 from kinora.config import Settings
 from kinora.engine import Catalog
-from kinora.sources import images
 from kinora.sources.ingest import FakeDetector
+from tests.test_images import png
 
 
 class Same(FakeDetector):
@@ -57,8 +56,78 @@ def test_index_rebuild_search_and_reset(spark, tmp_path):
     assert catalog.reset()["files"] == 12 and catalog.table("files").count() == 0 and catalog.list_roots().count() == 1
 
 
-def test_exif_values_are_made_plain():
-    assert [images.plain(x) for x in (b"ab\x00", Fraction(1, 4), "s", 3, None, [1])] == ["ab", 0.25, "s", 3, None, "[1]"]
-    if images.Image is None:
-        with pytest.raises(RuntimeError):
-            images.decode(b"")
+class Ppm:
+    """A codec for the plainest format, so that pixels can be followed through the engine."""
+
+    def decode(self, content, name=""):
+        kind, width, height, _, rest = content.split(b"\n", 4)
+        assert kind == b"P6"
+        return np.frombuffer(rest, dtype=np.uint8).reshape(int(height), int(width), 3)
+
+    def encode(self, pixels):
+        return b"P6\n%d\n%d\n255\n" % (pixels.shape[1], pixels.shape[0]) + np.ascontiguousarray(pixels).tobytes()
+
+
+class Brightest:
+    """Finds one face, the box of the white pixels, and takes the shrunk image's size for its embedding."""
+
+    pixels = True
+
+    def load(self):
+        return self
+
+    def detect(self, pixels):
+        rows, columns = np.nonzero(pixels.min(axis=2) > 200)
+        if not len(rows):
+            return []
+        v = np.array([pixels.shape[0], pixels.shape[1], 1.0])
+        return [{"bbox": [columns.min(), rows.min(), columns.max() + 1, rows.max() + 1], "det_score": 0.9, "embedding": v / np.linalg.norm(v)}]
+
+
+def picture(width, height, box=None):
+    pixels = np.full((height, width, 3), 40, dtype=np.uint8)
+    if box:
+        pixels[box[1] : box[3], box[0] : box[2]] = 255
+    return Ppm().encode(pixels)
+
+
+def test_pixels_sizes_and_thumbnails(spark, tmp_path):
+    root = tmp_path / "photos"
+    root.mkdir()
+    (root / "large.png").write_bytes(picture(800, 400, (200, 100, 400, 300)))
+    (root / "none.png").write_bytes(picture(50, 60))
+    (root / "bad.png").write_bytes(b"P6\n1")
+    catalog = Catalog(spark, str(tmp_path / "store"), Settings(max_detect_side=200, embedding_dimension=3), Ppm())
+    catalog.init()
+    catalog.add_root(str(root))
+    counts = catalog.index(Brightest())
+    assert (counts["files_reindexed"], counts["errors"]) == (2, 1)
+    (face,) = catalog.table("faces").collect()
+    assert (face.bbox_x1, face.bbox_y1, face.bbox_x2, face.bbox_y2) == (200, 100, 400, 300)
+    thumbs = tmp_path / "store" / "thumbs"
+    crop = Ppm().decode((thumbs / face.face_thumb_rel).read_bytes())
+    assert crop.shape == (256, 256, 3) and crop[128, 128].tolist() == [255] * 3 and crop[2, 2].tolist() == [40] * 3
+    names = {r.rel_path: r.file_thumb_rel for r in catalog.table("files").collect()}
+    assert Ppm().decode((thumbs / names["large.png"]).read_bytes()).shape == (160, 320, 3)
+    assert Ppm().decode((thumbs / names["none.png"]).read_bytes()).shape == (60, 50, 3)
+    best = catalog.search_image((root / "large.png").read_bytes(), Brightest()).first()
+    assert abs(best.similarity - 1) < 1e-6  # a query is shrunk as an indexed file is
+    again = catalog.index(Brightest(), fresh=True)
+    assert again["files_reindexed"] == 2 and catalog.table("faces").first().face_thumb_rel == face.face_thumb_rel
+    catalog.reset()
+    assert not thumbs.exists()
+
+
+def test_without_a_codec_there_are_sizes_and_no_names_of_thumbnails(spark, tmp_path):
+    root = tmp_path / "photos"
+    root.mkdir()
+    (root / "a.png").write_bytes(png(30, 20))
+    catalog = Catalog(spark, str(tmp_path / "store"))
+    catalog.codec = None
+    catalog.init()
+    catalog.add_root(str(root))
+    catalog.index(FakeDetector(4))
+    (row,) = catalog.table("files").collect()
+    assert (row.width, row.height, row.exif, row.file_thumb_rel) == (30, 20, "{}", None)
+    assert catalog.table("faces").where("face_thumb_rel is not null").count() == 0
+    assert catalog.index(Brightest(), fresh=True)["errors"] == 1
