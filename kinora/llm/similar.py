@@ -4,7 +4,8 @@ Every text becomes the set of its distinct word shingles, as 64-bit hashes in or
 shingle into blocks, a block holding the shingles of one range of the hash space; the Hamming distance of two sketches
 is at most the size of the sets' symmetric difference.  For two sets of Jaccard similarity t or more that difference is
 at most d = (1 - t) / (1 + t) * (|A| + |B|), so of d + 1 + SPARE blocks at least 1 + SPARE are equal in both
-(pigeonhole).  Sizes are dealt into bands so narrow that such a pair lies in one band or in neighbouring ones; a band
+(pigeonhole).  With some blocks more, as many as are mostly empty, a set without more empty blocks than that leaves them
+out: enough others are equal.  Sizes are dealt into bands so narrow that such a pair lies in one band or in neighbouring ones; a band
 has its own number of blocks, and a text takes part in its own band and the one below.
 
 1. A scan gives each text's number of shingles, its class and a short sketch: parity of the whole set over about two
@@ -35,6 +36,7 @@ keep their own row, an id standing for all its texts.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import reduce
@@ -137,7 +139,7 @@ class Numbers:
 
 
 class Bands:
-    """Size bands for one threshold: the band of a size, and the number of blocks that a band needs."""
+    """Size bands for one threshold: the band of a size, how many blocks it needs, and how many may be left out as empty."""
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -147,19 +149,23 @@ class Bands:
         self.limits = np.array(limits)
         share = Fraction(100 - percent, 100 + percent)
         least = Fraction(100, percent)
-        self.blocks = []
+        self.blocks, self.empty = [], []
         for k in range(len(limits) - 2):
             low, high = limits[k + 1] - 1, limits[k + 2] - 1  # the largest sizes of the band and of the next
             apart = int(share * (low + min(Fraction(high), low * least)))
-            self.blocks.append(apart + 1 + SPARE if apart else 0)  # sets that may not differ at all are one class
+            need = apart + 1 + SPARE
+            empty = need * math.exp(-limits[k] / need)
+            self.empty.append(min(need, math.ceil(empty + 3 * math.sqrt(empty))))
+            self.blocks.append(need + self.empty[-1] if apart else 0)  # sets that may not differ at all are one class
 
     def of(self, size: int) -> int:
         return int(np.searchsorted(self.limits, size, side="right")) - 1
 
 
-def block_keys(shingles: np.ndarray, band: int, blocks: int) -> np.ndarray:
-    """One key per block: the block's number and its two 64-bit parity words.
+def block_keys(shingles: np.ndarray, band: int, blocks: int, empty: int = 0) -> np.ndarray:
+    """One key per block: the block's number and its two 64-bit parity words; none for empty ones if those are few.
 
+    If one of two linked sets leaves its empty blocks out, its others suffice; if neither does, both have keys for all.
     The hash space is cut into ``blocks`` ranges, so the ascending shingles are in order of their blocks already.
     """
     cuts = [(k << 64) // blocks for k in range(1, blocks)]
@@ -171,7 +177,9 @@ def block_keys(shingles: np.ndarray, band: int, blocks: int) -> np.ndarray:
     bounds = np.concatenate([[0], ends, [len(shingles)]])
     a, b = (p[bounds[1:]] ^ p[bounds[:-1]] for p in parity)
     number = np.arange(blocks, dtype=np.uint64) + np.uint64(band << 40)
-    return mix64(mix64(mix64(a) ^ (b * _FACTOR)) ^ mix64(number + np.uint64(1)))
+    keys = mix64(mix64(mix64(a) ^ (b * _FACTOR)) ^ mix64(number + np.uint64(1)))
+    some = np.diff(bounds) > 0
+    return keys[some] if blocks - some.sum() <= empty else keys
 
 
 def short_sketch(shingles: np.ndarray) -> bytes:
@@ -192,7 +200,7 @@ def folded(sketches: np.ndarray, words: int) -> np.ndarray:
 
 def keys_of(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     band = bands.of(len(shingles))
-    found = [block_keys(shingles, b, bands.blocks[b]) for b in (band - 1, band) if b >= 0 and bands.blocks[b]]
+    found = [block_keys(shingles, b, bands.blocks[b], bands.empty[b]) for b in (band - 1, band) if b >= 0 and bands.blocks[b]]
     return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
 
@@ -421,7 +429,7 @@ def node_components(docs: DataFrame, found: DataFrame, number: Numbers, size: in
 
     best = stored(near.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select("best.a", "b"), "best")
     links = [_verified(docs, sources, best, size, percent, number)]
-    groups = stored(connected_components(links[0], "a", "b"), "components")
+    groups = connected_components(links[0], "a", "b")
     left = _apart(near.select("a", "b").join(best, ["a", "b"], "left_anti"), groups)
     unseen = stored(_unseen(crowds, groups), "unseen")
     discard(crowds)
@@ -433,7 +441,7 @@ def node_components(docs: DataFrame, found: DataFrame, number: Numbers, size: in
         if not fresh.isEmpty():
             links.append(_verified(docs, sources, fresh, size, percent, number))
             discard(groups)
-            groups = stored(connected_components(reduce(DataFrame.unionByName, links), "a", "b"), "components")
+            groups = connected_components(reduce(DataFrame.unionByName, links), "a", "b")
         if not nearest:
             discard(fresh)
     discard(sources, near, best, unseen, pool, tested, *links)

@@ -67,20 +67,24 @@ def test_sets_equal_a_plain_version():
 
 @pytest.mark.parametrize("percent", [80, 85, 95])
 def test_bands_and_pigeonhole(percent):
-    bands, rng = similar.Bands(percent), random.Random(percent)
-    for _ in range(400):
-        n = rng.randint(1, 300)
-        a = np.array(sorted(rng.sample(range(1 << 62), n)), dtype=np.uint64)
+    bands, rng, seen, left_out = similar.Bands(percent), random.Random(percent), 0, 0
+    for _ in range(1500):
+        n = rng.choice([rng.randint(1, 12), rng.randint(1, 300), rng.randint(500, 900)])
+        high = rng.choice([1 << 62, 1 << 64])  # the lower range leaves most blocks empty
+        a = np.array(sorted({rng.randrange(high) for _ in range(n)}), dtype=np.uint64)
         gone, new = rng.randint(0, n // 8), rng.randint(0, n // 6)
-        b = np.unique(np.concatenate([rng.sample(a.tolist(), n - gone), rng.sample(range(1 << 62), new)]).astype(np.uint64))
+        b = np.unique(np.array(rng.sample(a.tolist(), n - gone) + [rng.randrange(high) for _ in range(new)], dtype=np.uint64))
         both = len(np.intersect1d(a, b))
         if 100 * both >= percent * (len(a) + len(b) - both) and not np.array_equal(a, b):
+            seen += 1
+            left_out += any(k and len(similar.block_keys(a, b, k, e)) < k for b, (k, e) in enumerate(zip(bands.blocks[:40], bands.empty)) if b == bands.of(len(a)))
             assert abs(bands.of(len(a)) - bands.of(len(b))) <= 1
             assert len(np.intersect1d(similar.keys_of(a, bands), similar.keys_of(b, bands))) > similar.SPARE
             x, y = (similar.short_sketch(v) for v in (a, b))
             x, y = (similar._words([v], min(len(x), len(y)) // 8)[0] for v in (x, y))
             assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
             assert similar._close(x, y[None], len(a), np.array([len(b)]), percent)[0] >= 0
+    assert seen > 50 and (left_out > 20 or percent == 95)  # with fewer blocks none is empty
 
 
 EXTRA = [(900, None), (901, ""), (902, " \n "), (903, "one"), (904, "ONE"), (905, "one two"), (None, "one"), (None, None)]
