@@ -6,8 +6,8 @@ rates and the L1 term leave few weights, which are broadcast as (bucket, weight)
 Scoring reads every text once, whole, without a shuffle.
 
 Defined results: null and empty texts have no features and score the model's prior; rows are scored one by one, so
-repeated rows and ids change nothing; a null id is never learned from and counts as held out; without any row to learn
-from there are no weights, so every score is 0.5, which counts as predicted toxic but as no reason to drop a document.
+repeated rows and ids change nothing; a null id is never learned from and counts as held out; without rows of both
+classes to learn from, or if nothing is learned from them, every score is PRIOR, so nothing is predicted toxic.
 """
 
 from __future__ import annotations
@@ -27,14 +27,18 @@ STEP_BYTES = 1 << 20
 #: Labelled rows learned from, at most, of each class; taken in the order of a hash of the id.
 SAMPLE_ROWS = 12_000
 
+#: Bytes of features that are learned from, four for each feature of a row; rows beyond it, in the order of a hash, are not.
+SAMPLE_BYTES = 192 << 20
 #: A toxic row counts as much as it is rarer, up to so many times.
 RAREST = 3.0
+#: The score of every text if there is no model.
+PRIOR = 0.01
 
 
 class Ftrl:
     """Follow the regularised leader, proximal form (McMahan et al., 2013), for binary features."""
 
-    def __init__(self, size: int, alpha: float = 3.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0):
+    def __init__(self, size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0):
         self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
@@ -93,16 +97,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pass
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic").cast(pa.int32()), pa.array(lists, pa.binary())], names=["doc_id", "toxic", "buckets"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [x for b in batches for x in zip(b.column("doc_id").to_pylist(), b.column("toxic").to_pylist(), b.column("buckets").to_pylist())]
-        if not rows:
+        rows, held = [], 0
+        for b in batches:
+            for label, packed in zip(b.column("toxic").to_pylist(), b.column("buckets").to_pylist()):
+                if held < SAMPLE_BYTES:
+                    rows.append((label, packed))
+                    held += len(packed)
+        toxic = sum(label for label, _ in rows)
+        clean = len(rows) - toxic
+        if not toxic or not clean:
             return
-        rows.sort(key=lambda r: ((r[0] * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF, r))  # mixes the classes
         model = Ftrl(1 << BITS)
-        toxic = sum(label for _, label, _ in rows)
-        clean = len(rows) - toxic
         rarer, rarer_of_all = (min(RAREST, max(1.0, clean / max(toxic * k, 1))) for k in (1.0, stands))
         for _ in range(passes):
-            for _, label, packed in rows:
+            for label, packed in rows:
                 model.update(np.frombuffer(packed, dtype=np.int32), label, rarer if label else 1.0)
         weights = model.weights(slice(None))
         weights[-1] += np.log(stands * rarer_of_all / rarer)
@@ -110,7 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pass
         yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(weights[kept])], names=["bucket", "weight"])
 
     rows = texts.mapInArrow(features, "doc_id long, toxic int, buckets binary")
-    return rows.repartition(1).mapInArrow(learn, "bucket long, weight double")
+    # by another hash than that of the sample, which would put the class first that is sampled more thinly
+    mixed = rows.repartition(1).sortWithinPartitions(F.xxhash64(F.lit("order"), "doc_id"), "doc_id", "buckets")
+    return mixed.mapInArrow(learn, "bucket long, weight double")
 
 
 class Scorer:
@@ -134,6 +144,8 @@ class Scorer:
 
 def _shared(weights: DataFrame):
     model = weights.toArrow()  # L1 leaves few; 2**BITS + 1 rows at most
+    if not model.num_rows:
+        return weights.sparkSession.sparkContext.broadcast((np.array([1 << BITS], dtype=np.int32), np.array([np.log(PRIOR / (1 - PRIOR))])))
     return weights.sparkSession.sparkContext.broadcast((model.column("bucket").to_numpy().astype(np.int32), model.column("weight").to_numpy().astype(np.float64)))
 
 
