@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,8 +182,8 @@ def windows(found: list[str], window: int = WINDOW) -> list[list[str]]:
 FOUND = "segment long, place int, doc_id long, n_words long, runs array<struct<start:int,end:int>>, items array<string>"
 
 
-def _search(index: DataFrame, items: list[Item], window: int) -> DataFrame:
-    bound = index.sparkSession.sparkContext.broadcast(items)
+def _search(index: DataFrame, bound: Broadcast, window: int) -> DataFrame:
+    """``bound`` holds a block's items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases: dict[tuple[str, ...], list[str]] = {}
@@ -231,13 +232,25 @@ def united(runs: Column) -> Column:
 
 def find_phrases(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document (see FOUND): the word runs [start, end) inside occurrences of any window, and the items' ids."""
-    parts = [_search(index, block, window) for block in blocks(benchmark, block_words)] or [_search(index, [], window)]
-    if len(parts) == 1:
-        return parts[0]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    send, left = index.sparkSession.sparkContext.broadcast, blocks(benchmark, block_words)
+    first, second = next(left, []), next(left, None)
+    if second is None:
+        return _search(index, send(first), window)
+    found = [_hits(index, block, window) for block in (first, second)] + [_hits(index, block, window) for block in left]
+    key = ["segment", "place"]
+    hits = reduce(DataFrame.unionByName, found).groupBy(*key)
+    hits = hits.agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    every = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "lengths")).alias("place", "of")).select(*key, F.col("of.doc_ids").alias("doc_id"), F.col("of.lengths").cast("long").alias("n_words"))
+    none = _search(index.limit(0), send([]), window)
+    return every.join(hits, key, "left").select(*key, "doc_id", "n_words", *(F.coalesce(c, F.array().cast(none.schema[c].dataType)).alias(c) for c in ("runs", "items")))
+
+
+def _hits(index: DataFrame, items: list[Item], window: int) -> DataFrame:
+    """What one block of the test set hits, stored, so that no more than one block is broadcast at a time."""
+    bound = index.sparkSession.sparkContext.broadcast(items)
+    found = stored(_search(index, bound, window).where("size(items) > 0").select("segment", "place", "runs", "items"), "hits")
+    bound.destroy()
+    return found
 
 
 def find_near(index: DataFrame, queries: dict[str, list[str]], span: int) -> DataFrame:
