@@ -2,9 +2,11 @@
 
 The base patterns find assigned values, access keys and long hexadecimal runs.  Of the credentials they
 find in all texts a bounded sample serves as labelled strings: for each kind a prefix tree is built over character classes and its statistically
-compatible states are merged (ALERGIA, Carrasco and Oncina 1994) into a probabilistic automaton.  One more automaton
-is inferred from ordinary long tokens.  Every candidate token of every text that no base span touches is then scored
-by how much likelier the best credential format is than ordinary text; likelier ones are added as spans.
+compatible states are merged (ALERGIA, Carrasco and Oncina 1994) into a probabilistic automaton.  More automata are
+inferred from ordinary tokens, one for each shape: whether there are letters, digits and other characters.  Every token
+of every text, a run of LEAST or more of the characters that an assigned value may have, without what base spans cover of
+it and without dots at its ends, is then scored by how much likelier the best credential format is than an ordinary token
+of its shape; those are added as spans that are MARGIN times as likely or more.
 
 Defined results: null and empty texts have no spans; rows are scanned one by one, so repeated rows and ids change
 nothing; with no labelled credential in the sample nothing is added.  Offsets are code points, ends exclusive.
@@ -15,27 +17,32 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinora.llm.batches import record, text_slices
-from kinora.session import stored
+from kinora.session import discard, stored
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
+#: Characters that the shortest token has, as the shortest assigned value.
+LEAST = 6
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{%d,}[A-Za-z0-9+/_=-]" % (LEAST - 2))
 #: In the order of ties.
 KINDS = ("assign", "access", "hex", "grammar")
-#: Distinct labelled strings per kind, and ordinary tokens, that are learned from; taken whole, in the order of a hash.
+#: Distinct labelled strings per kind, and ordinary tokens per shape, that are learned from; taken whole, in the order of
+#: a hash.
 SAMPLE_STRINGS = 400
 #: Once those of a kind hold so many characters together, no more are taken; the one that reaches it is whole as well.
 SAMPLE_CHARS = 200_000
+#: Judged tokens that a task remembers.
+KNOWN = 1 << 17
 #: Natural logarithm of how much likelier the credential format has to be.
 MARGIN = math.log(1000)
 
@@ -65,14 +72,23 @@ def credential(text: str, span: Span) -> str:
 
 
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Long tokens with a digit in them that touch no base span."""
-    found = [m.span() for m in CANDIDATE.finditer(text) if DIGIT.search(text, *m.span())]
+    """Tokens, and of those that base spans cover in part what is left of them."""
+    found = [m.span() for m in CANDIDATE.finditer(text)]
     if not base or not found:
         return found
     starts, ends, reach = [s for _, s, _ in base], [], 0
     for _, _, e in base:  # base spans are ordered by start, so the furthest end so far is all that matters
         ends.append(reach := max(reach, e))
-    return [(a, b) for a, b in found if not (k := bisect_left(starts, b)) or ends[k - 1] <= a]
+    out = []
+    for a, b in found:
+        k = bisect_right(ends, a)  # the first span that ends beyond the token's start
+        while a < b:
+            stop = min(b, starts[k]) if k < len(starts) else b
+            out += [m.span() for m in CANDIDATE.finditer(text, a, stop)] if stop - a >= LEAST else []
+            if k == len(starts):
+                break
+            a, k = max(a, ends[k]), k + 1
+    return out
 
 
 _CLASSES = str.maketrans({**dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("ABCDEF", "H"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "U"), **dict.fromkeys("0123456789", "d")})
@@ -88,6 +104,17 @@ def classes(text: str) -> str:
     return text.translate(_CLASSES)
 
 
+#: Kinds of ordinary tokens by their letters, digits and other characters.
+SHAPES = ("l", "d", "ld", "o", "lo", "do", "ldo")
+_LETTER, _DIGIT, _OTHER = re.compile("[A-Za-z]"), re.compile("[0-9]"), re.compile("[^A-Za-z0-9]")
+
+
+def shape(token: str) -> str:
+    if token.isalpha():
+        return "l"
+    return "l" * bool(_LETTER.search(token)) + "d" * bool(_DIGIT.search(token)) + "o" * bool(_OTHER.search(token))
+
+
 class Smallest:
     """The distinct strings first in the order of a hash: ``count`` of them, or fewer that reach ``chars`` characters."""
 
@@ -209,39 +236,65 @@ class Automaton:
 
 
 class Formats:
-    """Automata for the credential kinds and one for ordinary tokens."""
+    """Automata for the credential kinds and for ordinary tokens by their shape."""
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
-        self.kinds = {k: Automaton.infer([classes(s) for s in v]) for k, v in sorted(labelled.items()) if v}
-        self.ordinary = Automaton.infer([classes(s) for s in ordinary])
+    def __init__(self, labelled: dict[str, list[str]], ordinary: Iterable[str]):
+        by: dict[str, list[str]] = {}
+        for token in ordinary:
+            by.setdefault(shape(token), []).append(token)
+        self.kinds, self.ordinary = ({k: Automaton.infer([classes(s) for s in v]) for k, v in sorted(x.items()) if v} for x in (labelled, by))
+        self._unseen = Automaton.infer([])
+        self._judged: dict[str, bool] = {}
 
     def score(self, token: str) -> float:
-        """Logarithm of how much likelier the best credential format makes the token than ordinary text does."""
+        """Logarithm of how much likelier the best credential format makes the token than its shape does."""
         if not self.kinds:
             return -math.inf
-        return max(a.log_likelihood(token) for a in self.kinds.values()) - self.ordinary.log_likelihood(token)
+        return max(a.log_likelihood(token) for a in self.kinds.values()) - self.ordinary.get(shape(token), self._unseen).log_likelihood(token)
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
-        return [("grammar", a, b) for a, b in candidates(text, base) if self.score(text[a:b]) >= MARGIN]
+        if not self.kinds or not base and not any(map(self.likely, set(CANDIDATE.findall(text)))):
+            return []
+        return [("grammar", a, b) for a, b in candidates(text, base) if self.likely(text[a:b])]
+
+    def likely(self, token: str) -> bool:
+        """Whether the token is a credential; what was found of short ones is kept for a while, as most are words."""
+        got = self._judged.get(token)
+        if got is None:
+            got = self.score(token) >= MARGIN
+            if len(token) <= 64:
+                if len(self._judged) >= KNOWN:
+                    self._judged.clear()
+                self._judged[token] = got
+        return got
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_judged": {}}
+
+
+LEARNED = (*KINDS[:3], *SHAPES)
 
 
 def labelled_strings(docs: DataFrame, strings: int = SAMPLE_STRINGS) -> DataFrame:
-    """(kind, hash, string) as found by the base patterns and, as kind ``ordinary``, candidates they leave, in all texts.
+    """(kind, hash, string) as found by the base patterns and, with their shape as kind, tokens they leave, in all texts.
 
     A task keeps those of each kind that come first by their hash, so the first of all are among them.
     """
     texts = docs.select(F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = {k: Smallest(strings) for k in (*KINDS[:3], "ordinary")}
+        kept, seen = {k: Smallest(strings) for k in LEARNED}, set()
         for batch in (part for whole in batches for part in text_slices(whole)):
+            tokens = set()
             for text in batch.column("text").to_pylist():
                 if text:
                     base = base_spans(text)
                     for s in base:
                         kept[s[0]].add(credential(text, s))
-                    for a, b in candidates(text, base):
-                        kept["ordinary"].add(text[a:b])
+                    tokens.update([text[a:b] for a, b in candidates(text, base)] if base else CANDIDATE.findall(text))
+            for token in tokens - seen:
+                kept[shape(token)].add(token)
+            seen = seen | tokens if len(seen) < KNOWN else set()
         for kind, some in kept.items():
             if items := some.items():
                 hashes, found = zip(*items)
@@ -251,15 +304,15 @@ def labelled_strings(docs: DataFrame, strings: int = SAMPLE_STRINGS) -> DataFram
 
 
 def learn(docs: DataFrame, strings: int = SAMPLE_STRINGS) -> Formats:
-    """Formats inferred on the driver from at most ``strings`` strings of each kind."""
+    """Formats inferred on the driver from at most ``strings`` strings of each kind and shape."""
     found = stored(labelled_strings(docs, strings), "credentials")
-    parts = [found.where(F.col("kind") == k).orderBy("hash").limit(strings) for k in (*KINDS[:3], "ordinary")]
-    kept: dict[str, Smallest] = {}
-    for row in parts[0].union(parts[1]).union(parts[2]).union(parts[3]).collect():
-        kept.setdefault(row.kind, Smallest(strings)).add(row.string)
+    parts = [found.where(F.col("kind") == k).orderBy("hash").limit(strings) for k in LEARNED]
+    kept = {k: Smallest(strings) for k in LEARNED}
+    for row in reduce(DataFrame.union, parts).collect():
+        kept[row.kind].add(row.string)
+    discard(found)
     learned = {k: sorted(s for _, s in v.items()) for k, v in kept.items()}
-    ordinary = learned.pop("ordinary", [])
-    return Formats(learned, ordinary)
+    return Formats({k: learned[k] for k in KINDS[:3]}, (s for k in SHAPES for s in learned[k]))
 
 
 def scan(docs: DataFrame, formats: Formats) -> DataFrame:
