@@ -234,7 +234,8 @@ class Bpe:
         """The ids of all texts on end, and len(texts) + 1 offsets into them.
 
         Equal pieces of the batch are found by a 64-bit hash of their characters with their length, so each distinct
-        piece is encoded once; pieces longer than SHORT get a cryptographic hash of 64 bits.
+        piece is encoded once; pieces longer than SHORT get a cryptographic hash of 64 bits.  The ids have to spell every
+        piece; if pieces with one hash differ they don't, and the batch is encoded without hashes.
         """
         joined, points, offsets = code_points(texts)
         starts = piece_starts(points, offsets)
@@ -247,14 +248,29 @@ class Bpe:
         key[long] = [int.from_bytes(hashlib.blake2b(joined[starts[i] : starts[i] + lengths[i]].encode(), digest_size=8).digest()) for i in long]
         keys, first, which = np.unique(key, return_index=True, return_inverse=True)
         ids, begins, counts = self._known(keys, lambda i: joined[starts[first[i]] : starts[first[i]] + lengths[first[i]]])
-        ends = np.concatenate([[0], np.cumsum(counts[which])])
-        return spread(ids, begins, counts, which), ends[np.searchsorted(starts, offsets)]
+        ends, ids = np.concatenate([[0], np.cumsum(counts[which])]), spread(ids, begins, counts, which)
+        if not self._spell(ids, ends, joined, points, starts):
+            self._runs, fresh = [_empty(), _empty()], [self.encode_piece(joined[a : a + n].encode()) for a, n in zip(starts.tolist(), lengths.tolist())]
+            ends, ids = np.cumsum([0, *map(len, fresh)]), np.array([t for x in fresh for t in x], dtype="<u4")
+        return ids, ends[np.searchsorted(starts, offsets)]
+
+    def _spell(self, ids: np.ndarray, ends: np.ndarray, joined: str, points: np.ndarray, starts: np.ndarray) -> bool:
+        """Whether the ids between two ``ends`` are the bytes of the piece between two ``starts``, for all pieces."""
+        data, sizes = self._decoder()
+        widths = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+        wanted = np.append(0, np.cumsum(widths))[np.append(starts, len(points))]
+        found = np.append(0, np.cumsum(sizes[ids]))[ends]
+        return np.array_equal(wanted, found) and spread(data, np.cumsum(sizes) - sizes, sizes, ids).tobytes() == joined.encode()
+
+    def _decoder(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all tokens, and how many each has."""
+        if self._bytes is None:
+            self._bytes = np.frombuffer(b"".join(self.vocabulary), dtype=np.uint8), np.array([len(x) for x in self.vocabulary], dtype=np.int64)
+        return self._bytes
 
     def decode_batch(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Token bytes, concatenated; concatenation is associative, so all levels of the tree collapse into one."""
-        if self._bytes is None:
-            self._bytes = np.frombuffer(b"".join(self.vocabulary), dtype=np.uint8), np.array([len(x) for x in self.vocabulary], dtype=np.int64)
-        data, sizes = self._bytes
+        data, sizes = self._decoder()
         ends = np.concatenate([[0], np.cumsum(sizes[ids])])[offsets].tolist()
         whole = spread(data, np.cumsum(sizes) - sizes, sizes, ids).tobytes()
         return [whole[a:b] for a, b in zip(ends, ends[1:])]

@@ -77,3 +77,15 @@ def test_tokens_as_rows(spark, independent):
 
 def test_rank_file_lines():
     assert bpe.Bpe.parse(base64.b64encode(b"a") + b" 0\n").ranks == {b"a": 0}
+
+
+def test_pieces_that_share_a_hash(table, independent, monkeypatch):
+    """With a hash that knows only lengths, within a batch and in what is remembered of the one before."""
+    zeros, digest = np.zeros(0x110000, dtype=np.uint64), hashlib.blake2b(digest_size=8)
+    monkeypatch.setattr(bpe, "_mixed", lambda: zeros)
+    monkeypatch.setattr(bpe.hashlib, "blake2b", lambda *a, **k: digest)
+    encoder = bpe.Bpe(table.ranks)
+    for part in (["one two", "six", ""], ["tea for two", "x" * 70 + " " + "y" * 69], ["six", "é"]):
+        for _ in range(2):
+            ids, ends = encoder.encode_batch(part)
+            assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [independent.encode_ordinary(x) for x in part]
