@@ -25,6 +25,8 @@ from kinora.llm.words import letters, lowered
 
 SIZES = (3, 4)
 SLOTS_LOG2, HASHES = 20, 4
+#: Values of ``lang`` that can be learned; the model and what is broadcast have a row for each.
+LANGUAGES = 1_024
 #: Rows learned from per language, at most, and n-grams kept per language.
 SAMPLE_ROWS, PROFILE = 2_000, 6_000
 STEP_BYTES = 1 << 20
@@ -102,7 +104,9 @@ def remainder(column: str = "doc_id"):
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, profile: int = PROFILE) -> Filter:
     """Learn from at most ``sample_rows`` rows per language, in the order of a hash of the id."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (remainder() != 2))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))  # a row per language, as the model has anyway
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
+    if (found := counts.count()) > LANGUAGES:
+        raise ValueError(f"{found} values of lang; a model holds {LANGUAGES} languages at most")
     share = F.lit(1.5 * sample_rows) / F.col("_rows") * (1 << 30)  # a few more than are needed, so no task gets a whole language
     known = known.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= share)
     order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from kinora.llm import language
 
@@ -65,6 +66,36 @@ def test_held_out_accuracy_and_edge_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got if r.doc_id is not None)
 
 
+def test_predictions_equal_plain_sets(spark):
+    """With filters this empty a prediction is the language whose set holds most of a text's n-grams."""
+    rng = random.Random(5)
+    rows = fixture()
+    rows += [(300 + k, " ".join(text(rng, rng.choice(sorted(WORDS)), rng.randint(0, 4)) for _ in range(3)), None) for k in range(80)]
+    rows += [(400, "the " * 60_000 + "le", None)]
+    sets = {}
+    for i, t, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            sets.setdefault(lang, set()).update(brute_grams(t))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.identify(docs, language.fit(docs)).collect()}
+    for i, t, _ in rows:
+        found = brute_grams(t)
+        counts = {x: sum(g in sets[x] for g in found) for x in sorted(sets)}
+        most = max(counts.values())
+        if not found:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+        elif most:
+            share = most / sum(counts.values())
+            assert abs(got[i].score - share) < 1e-6 and counts[got[i].lang_pred] == most
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    docs = spark.createDataFrame(fixture(), "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="4 values"):
+        language.fit(docs)
+
+
 def test_labels_of_held_out_rows_are_never_read(spark):
     rows = fixture()
     schema = "doc_id long, text string, lang string"
