@@ -8,9 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Text handed to one vectorised step. Whole rows only: a single longer text forms a slice of its own.
 SLICE_BYTES = 1 << 20
+#: What Spark hands to a Python worker at once, and buffers on the way; a single longer row goes alone.
+BATCH_BYTES = 4 << 20
 try:
     _libc = ctypes.CDLL("libc.so.6")
     _libc.malloc_trim
@@ -18,6 +21,13 @@ except (OSError, AttributeError):  # another C library
     _libc = None
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by their bytes, as ten thousand rows may hold long texts; a caller's bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # what Spark has if nobody set it
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts hold at most ``limit`` bytes together."""
     if batch.num_rows == 0:

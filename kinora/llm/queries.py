@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kinora.llm import bpe, chat, decontaminate, forest, language, secrets, similar, toxicity, urls, warc
+from kinora.llm.batches import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -131,10 +133,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op9_chat"] = """
-WITH t AS (SELECT conv_id, coalesce(turn // 512, -1) part, turn, role, text said FROM conversations),
+WITH t AS (SELECT conv_id, 0 part, turn, role, text said FROM conversations),
 s AS (SELECT DISTINCT conv_id, role speaker FROM t WHERE role <> 'system'),
 r AS (SELECT t.*, speaker, coalesce(role = speaker, false) mine,
-  '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN role WHEN role IS NULL THEN 'user' ELSE 'user name=' || replace(role, '<|', '< |') END || chr(10) head,
+  '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN role WHEN role IS NULL THEN 'user' ELSE 'user name=' || regexp_replace(replace(role, '<|', '< |'), '[\\r\\n]+', ' ', 'g') END || chr(10) head,
   replace(coalesce(said, ''), '<|', '< |') || '<|im_end|>' body FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
 o AS (SELECT *, row_number() OVER w place, sum(length(head) + length(body) + 1) OVER w - length(body) - 1 a FROM r
   WINDOW w AS (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role NULLS FIRST, said NULLS FIRST ROWS UNBOUNDED PRECEDING))
