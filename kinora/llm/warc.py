@@ -3,8 +3,9 @@
 Archives are written by Spark's text sink with the record end as line separator, one uncompressed file per partition,
 to the session's shared folder.  For reading, the text source splits the files among the tasks wherever the record
 magic occurs, also inside payloads.  Every piece is a candidate: from its header a task derives the offset at which its
-successor has to start.  Per file, pointer jumping from the file's start over these offsets keeps only reachable
-records.  A record that holds the magic in its payload comes in several pieces; only those are read again and joined.
+successor has to start.  Pointer jumping from the file's start over these offsets, within splits and then over the
+offsets at which chains leave a split, keeps only reachable records.  A record that holds the magic in its payload comes
+in several pieces; their bytes are kept at the first reading, and joined.
 
 Defined results: a null html is an empty payload; a page without an id keeps its row with a null id and is never
 referred to; repeated pages each have a record, those with the smallest id of equal payloads all being responses;
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinora.session import shared_folder, stored
+from kinora.session import discard, remove, shared_folder, stored
 
 MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
 #: Payloads of fewer bytes are never revisits.
@@ -108,28 +109,26 @@ def payload(record: dict) -> tuple[int, str]:
     return len(body), hashlib.sha256(body).hexdigest()
 
 
-CANDIDATE = "file string, split long, place long, size long, record_bytes long, record_type string, page_id long, refers_to long, payload_bytes long, payload_digest string"
-_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+CANDIDATE = "file string, split long, place long, size long, record_bytes long, record_type string, page_id long, refers_to long, payload_bytes long, payload_digest string, value binary"
+_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 _NAMES = [x.split()[0] for x in CANDIDATE.split(", ")]
-
-
-def _pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """What lies between two magics, with its file and the start of the split that it was read in."""
-    read = spark.read.option("lineSep", MAGIC).text(folder)
-    return read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
+CHAINED = "file string, split long, place long, size long, start long, record_bytes long, head boolean, whole boolean"
+RECORD = "file string, start long, record_type string, page_id long, payload_bytes long, payload_digest string, refers_to long"
 
 
 def _placed(batch: pa.RecordBatch, at: dict) -> Iterator[tuple[str, int, int, bytes]]:
     """Rows with their offset from the first piece of their split; a task reads a split in order."""
     for file, split, value in zip(batch.column("file").to_pylist(), batch.column("split").to_pylist(), batch.column("value").to_pylist()):
         if at.get("split") != (file, split):
-            at["split"], at["place"] = (file, split), 0
+            at["split"], at["place"], at["open"] = (file, split), 0, 0
         yield file, split, at["place"], value
         at["place"] += len(value) + len(MAGIC)
 
 
-def candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """Every piece with what its header declares; its payload's digest if the whole record is in the piece."""
+def candidates(spark: SparkSession, folder: str, every_value: bool = False) -> DataFrame:
+    """What lies between two magics, with its file, the start of the split that it was read in, and what its header
+    declares; stored.  A piece that holds a whole record has its payload's digest, others have their bytes, as have those
+    that lie within what an unfinished record before them in the split declares, or with ``every_value`` all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: dict = {}
@@ -137,87 +136,152 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
             rows = []
             for file, split, place, value in _placed(batch, at):
                 record = parse(value)
-                if record is None:
-                    rows.append((file, split, place, len(value), None, None, None, None, None, None))
-                    continue
-                whole = record["record_bytes"] == len(MAGIC) + len(value)
-                size, digest = payload(record) if whole else (None, None)
-                rows.append((file, split, place, len(value), record["record_bytes"], record["record_type"], record["page_id"], record["refers_to"], size, digest))
+                whole = record is not None and record["record_bytes"] == len(MAGIC) + len(value)
+                inside = place < at["open"]
+                if record is not None and not whole:
+                    at["open"] = max(at["open"], place - len(MAGIC) + record["record_bytes"])
+                told = (None,) * 4 if record is None else (record["record_bytes"], record["record_type"], record["page_id"], record["refers_to"])
+                rows.append((file, split, place, len(value), *told, *(payload(record) if whole else (None, None)), value if every_value or inside or not whole else None))
             columns = list(zip(*rows)) or [()] * len(_NAMES)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], names=_NAMES)
 
-    return _pieces(spark, folder).mapInArrow(run, CANDIDATE)
+    read = spark.read.option("lineSep", MAGIC).text(folder)
+    pieces = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
+    return stored(pieces.mapInArrow(run, CANDIDATE), "pieces", compression="zstd")
+
+
+def followers(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of the ascending ``starts`` each end is; their number if none."""
+    n = len(starts)
+    to = np.searchsorted(starts, ends)
+    found = to < n
+    found[found] = starts[to[found]] == ends[found]
+    return np.where(found, to, n)
 
 
-def reachable(starts: np.ndarray, successors: np.ndarray) -> np.ndarray:
-    """Which of the ascending ``starts`` a chain from offset 0 reaches: pointer jumping, doubling the distance."""
+def reachable(starts: np.ndarray, ends: np.ndarray, entry: int = 0) -> np.ndarray:
+    """Which of the ascending ``starts`` a chain from offset ``entry`` reaches: pointer jumping, doubling the distance."""
     n = len(starts)
     reached = np.zeros(n + 1, dtype=bool)
-    if n and starts[0] == 0:
-        reached[0] = True
-    to = np.append(np.searchsorted(starts, successors), n)
-    inside = to < n
-    inside[inside] = starts[to[inside]] == np.append(successors, 0)[inside]
-    to = np.where(inside, to, n)
+    reached[:n] = starts == entry
+    to = np.append(followers(starts, ends), n)
     for _ in range(max(1, int(n).bit_length() + 1)):
         reached[to[reached]] = True
         to = to[to]
     return reached[:n]
 
 
-def verify(found: DataFrame) -> DataFrame:
-    """Per file the records of its chain, with ``start`` and whether the record is ``whole`` in its first piece.
+def last_of(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each of the ascending ``starts`` which of them its chain ends with: pointer jumping."""
+    n = len(starts)
+    to = followers(starts, ends)
+    to = np.where(to < n, to, np.arange(n))
+    for _ in range(max(1, int(n).bit_length() + 1)):
+        to = to[to]
+    return to
 
-    Further pieces of a record come along with their record's start and a null type.  A file's pieces without their
-    payloads are one task's work: they are as many as its records.
-    """
 
-    def chain(pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["split", "place"], kind="stable")
-        start = np.cumsum(pieces["size"].to_numpy() + len(MAGIC)) - pieces["size"].to_numpy() - 2 * len(MAGIC)
-        headed = pieces["record_bytes"].notna().to_numpy() & (start >= 0)
-        declared = pieces["record_bytes"].fillna(0).to_numpy().astype(np.int64)
-        at = np.flatnonzero(headed)
-        kept = np.zeros(len(pieces), dtype=bool)
-        kept[at[reachable(start[at], start[at] + declared[at])]] = True
-        owner = np.cumsum(kept) - 1
-        first = np.flatnonzero(kept)
-        out = pieces.assign(start=np.where(owner >= 0, start[first[np.maximum(owner, 0)]] if len(first) else -1, -1), head=kept)
-        whole = np.isin(out["start"].to_numpy(), out.loc[kept & pieces["payload_bytes"].notna().to_numpy(), "start"].to_numpy())
-        return out.assign(whole=whole)[(kept | ~whole) & (owner >= 0)]
+def _headed(pieces: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in ``pieces`` of those with a header, and their records' starts and ends."""
+    at = np.flatnonzero(pieces["record_bytes"].notna().to_numpy() & (pieces["start"].to_numpy() >= 0))
+    starts = pieces["start"].to_numpy()[at]
+    return at, starts, starts + pieces["record_bytes"].to_numpy()[at].astype(np.int64)
 
-    return found.groupBy("file").applyInPandas(chain, CANDIDATE + ", start long, head boolean, whole boolean")
+
+def small_joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with a stored ``right``: broadcast if its counted rows are few enough, else by a shuffle of both."""
+    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
+
+
+def verify(found: DataFrame) -> DataFrame:
+    """The pieces of each file's chain (see CHAINED): heads of records, ``whole`` or not, and what unfinished ones go on in,
+    which comes with their ``start``; stored.
+
+    Chains are followed split by split.  Within a split every candidate is led to where its chain leaves the split; a
+    file's chain then goes over those few offsets alone, from split to split; last, each split keeps what is reached from
+    where that chain enters it.
+    """
+    key, before = ["file", "split"], Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.select(*key, "place", "size", "record_bytes", F.col("payload_bytes").isNotNull().alias("whole"))
+    splits = found.groupBy(*key).agg(F.max(F.col("place") + F.col("size") + len(MAGIC)).alias("bytes"))
+    splits = stored(splits.select(*key, (F.coalesce(F.sum("bytes").over(before), F.lit(0)) - len(MAGIC)).alias("base")), "splits")
+    start = (F.col("base") + F.col("place")).alias("start")
+
+    def leave(pieces: pd.DataFrame) -> pd.DataFrame:
+        pieces = pieces.sort_values("place")
+        _, starts, ends = _headed(pieces)
+        last = last_of(starts, ends)
+        return pd.DataFrame({"file": pieces["file"].iloc[0], "split": pieces["split"].iloc[0], "start": starts, "last": starts[last], "leaves": ends[last]})
+
+    led = small_joined(found, splits, key).select(*key, "place", "record_bytes", start)
+    led = stored(led.groupBy(*key).applyInPandas(leave, "file string, split long, start long, last long, leaves long"), "led")
+    entries = led.select("file", F.col("leaves").alias("start")).unionByName(splits.select("file", F.lit(0).cast("long").alias("start")))
+    entries = stored(entries.distinct(), "entries")
+
+    def chain(nodes: pd.DataFrame) -> pd.DataFrame:
+        nodes = nodes.sort_values("start")
+        return nodes[reachable(nodes["start"].to_numpy(), nodes["leaves"].to_numpy())]
+
+    entered = small_joined(led, entries, ["file", "start"]).select(led.columns).groupBy("file").applyInPandas(chain, led.schema)
+    entered = entered.groupBy(*key).agg(F.min("start").alias("entry"), F.max("last").alias("last"))
+    entered = splits.join(entered, key, "left").select(*key, "base", "entry", F.last("last", ignorenulls=True).over(before).alias("open"))
+    entered = stored(entered, "entered")
+
+    def keep(pieces: pd.DataFrame) -> pd.DataFrame:
+        pieces = pieces.sort_values("place")
+        at, starts, ends = _headed(pieces)
+        head = np.zeros(len(pieces), dtype=bool)
+        entry, begun = pieces["entry"].iloc[0], pieces["open"].iloc[0]
+        if not pd.isna(entry):
+            head[at[reachable(starts, ends, int(entry))]] = True
+        owner, first = np.cumsum(head) - 1, np.append(np.flatnonzero(head), 0)
+        start = np.where(owner >= 0, pieces["start"].to_numpy()[first[owner]], -1 if pd.isna(begun) else int(begun))
+        whole = pieces["whole"].to_numpy()
+        out = pieces.assign(start=start, head=head, whole=head & whole)
+        return out[head | (start >= 0) & ~((owner >= 0) & whole[first[owner]])][[x.split()[0] for x in CHAINED.split(", ")]]
+
+    kept = stored(small_joined(found, entered, key).withColumn("start", start).groupBy(*key).applyInPandas(keep, CHAINED), "chains")
+    discard(splits, led, entries, entered)
+    return kept
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per record: file, start, record_type, page_id, payload_bytes, payload_digest, refers_to."""
-    chains = stored(verify(candidates(spark, folder)), "chains")
-    columns = ["file", "start", "record_type", "page_id", "payload_bytes", "payload_digest", "refers_to"]
-    whole = chains.where("head and whole").select(*columns)
-    parts = chains.where("not whole").select("file", "split", "place", "start")
-    n = parts.count()
-    if not n:
-        return whole
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: dict = {}
-        for batch in batches:
-            rows = list(zip(*_placed(batch, at))) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, [pa.string(), pa.int64(), pa.int64(), pa.binary()])], names=["file", "split", "place", "value"])
+    """A row per record (see RECORD).
 
-    def join(pieces: pd.DataFrame) -> pd.DataFrame:
+    All of a record comes from one reading of the archives, however they are split.  Only if a record that goes on in
+    another split holds whole records there, the archives are read once more, with the bytes of all pieces.
+    """
+    piece, names = ["file", "split", "place"], [x.split()[0] for x in RECORD.split(", ")]
+
+    def joined(pieces: pd.DataFrame) -> pd.DataFrame:
         pieces = pieces.sort_values(["split", "place"])
         record = parse(MAGIC.encode().join(pieces["value"]))
         size, digest = payload(record)
-        return pd.DataFrame([(pieces["file"].iloc[0], pieces["start"].iloc[0], record["record_type"], record["page_id"], size, digest, record["refers_to"])], columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    again = _pieces(spark, folder).mapInArrow(place, "file string, split long, place long, value binary")
-    split = again.join(F.broadcast(parts) if n <= BROADCAST_ROWS else parts, ["file", "split", "place"])
-    schema = "file string, start long, record_type string, page_id long, payload_bytes long, payload_digest string, refers_to long"
-    return whole.unionByName(split.groupBy("file", "start").applyInPandas(join, schema))
+        return pd.DataFrame([(pieces["file"].iloc[0], pieces["start"].iloc[0], record["record_type"], record["page_id"], size, digest, record["refers_to"])], columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+
+    for every_value in (False, True):
+        found = candidates(spark, folder, every_value)
+        chains = verify(found)
+        heads = stored(chains.where("head and whole").select(*piece, "start").join(found.drop("value"), piece).select(*names), "whole")
+        begun = stored(chains.where("head and not whole").select("file", "start", (F.col("start") + F.col("record_bytes")).alias("end")), "begun")
+        # pieces beyond an unfinished record's end, which no chain reaches, belong to nothing
+        before = Window.partitionBy("file", "start").orderBy("split", "place").rowsBetween(Window.unboundedPreceding, -1)
+        parts = small_joined(chains.where("not whole").select(*piece, "start", "size"), begun, ["file", "start"])
+        parts = parts.withColumn("at", F.col("start") + F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(before), F.lit(0))).where("at < end")
+        parts = stored(parts.select(*piece, "start").join(found.select(*piece, "value"), piece), "parts")
+        if every_value or parts.where("value is null").isEmpty():
+            break
+        discard(found, chains, heads, begun, parts)
+    rest = stored(parts.groupBy("file", "start").applyInPandas(joined, RECORD), "records")
+    if heads.count() + rest.count() != chains.where("head").count():
+        raise ValueError("records were lost between the steps")
+    discard(found, chains, begun, parts)
+    return heads.unionByName(rest)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    found = read_archives(pages.sparkSession, write_archives(pages))
+    spark, folder = pages.sparkSession, write_archives(pages)
+    found = read_archives(spark, folder)
+    remove(spark, folder)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
