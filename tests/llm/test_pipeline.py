@@ -73,3 +73,36 @@ def test_each_stage_on_what_its_predecessor_kept(spark, folder):
     assert len(last) == len(now) and all(r.n_tokens == len(r.token_ids) for r in last)
     whole = corpus_pipeline.run(spark, folder).collect()
     assert sorted((r.doc_id, r.ids_sha256) for r in whole if r.doc_id is not None) == sorted((r.doc_id, r.ids_sha256) for r in last if r.doc_id is not None)
+
+
+COLUMNS = "doc_id long, text string, node string, sketch int, _component long, segment string, runs int, n_chars int"
+
+
+def written(spark, folder, docs, labels=(), items=()):
+    spark.createDataFrame(docs, COLUMNS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_empty_tables(spark, tmp_path):
+    folder = written(spark, tmp_path, [])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == [c.split()[0] for c in COLUMNS.split(", ")] and docs.count() == 0
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_nulls_long_texts_and_clashing_columns_without_labels_or_benchmark(spark, tmp_path):
+    rng = random.Random(3)
+    vocab = [f"word{k}" for k in range(900)]
+    long = say(rng, 60_000, vocab)
+    rows = [(1, None), (2, ""), (3, long), (4, long), (5, say(rng, 50, vocab)), (None, "no id"), (None, None), (6, None), (7, "x" * 200_000)]
+    folder = written(spark, tmp_path, [(i, t, "n", 1, 2, None, 3, len(t or "")) for i, t in rows] + [(5, rows[4][1], "other", None, None, "s", 1, 1)])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder).persist()
+        assert docs.columns == [c.split()[0] for c in COLUMNS.split(", ")]
+    assert rows_of(docs) == sorted([r for r in rows if r[0] != 4], key=str)
+    assert corpus_pipeline.run(spark, folder).count() == len(rows) - 1
