@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +70,33 @@ class Catalog:
     def list_roots(self) -> DataFrame:
         return stats.enabled_roots(self.table("roots"))
 
+    # --- jobs ----------------------------------------------------------------------------------------------------
+
+    def _begin(self, kind: str) -> int:
+        """Start a job, or take over one of the kind that a killed run left; returns its id."""
+        self.store.commit({"jobs": jobs.start(self.table("jobs"), kind, F.current_timestamp())})
+        return self.table("jobs").where((F.col("job_type") == kind) & (F.col("status") == "running")).agg(F.max("id")).first()[0]
+
+    @contextmanager
+    def _running(self, job: int) -> Iterator[None]:
+        """What runs inside can be stopped by its job; a job that fails or is stopped says so and changes nothing else."""
+        self.spark.addTag(f"kinora-job-{job}")
+        try:
+            yield
+        except BaseException as e:
+            self.spark.removeTag(f"kinora-job-{job}")
+            status = "interrupted" if isinstance(e, KeyboardInterrupt) or "cancelled" in str(e) else "failed"
+            self.store.commit({"jobs": jobs.finish(self.table("jobs"), job, F.current_timestamp(), status, str(e)[:1000])})
+            raise
+        self.spark.removeTag(f"kinora-job-{job}")
+
+    def stop(self, job: int) -> None:
+        """Cancel what a job runs in this session, from another thread."""
+        self.spark.interruptTag(f"kinora-job-{job}")
+
+    def _progress(self, job: int, counts: dict) -> None:
+        self.store.commit({"jobs": jobs.with_stats(self.table("jobs"), job, json.dumps(counts))})
+
     # --- indexing ------------------------------------------------------------------------------------------------
 
     def index(self, detector: FaceDetector, root_ids: list[int] | None = None, fresh: bool = False, batch_size: int | None = None) -> dict:
@@ -78,17 +106,21 @@ class Catalog:
         roots = {r.id: r.path for r in self.list_roots().collect() if root_ids is None or r.id in root_ids}
         if not roots:
             return {}
-        now = F.current_timestamp()
-        table = jobs.start(self.table("jobs"), "index_all", now)
-        self.store.commit({"jobs": table})
-        job = self.table("jobs").where("job_type = 'index_all' and status = 'running'").agg(F.max("id")).first()[0]
+        job = self._begin("index_all")
+        with self._running(job):
+            return self._index(job, roots, detector, fresh, batch_size)
 
+    def _index(self, job: int, roots: dict[int, str], detector: FaceDetector, fresh: bool, batch_size: int | None) -> dict:
+        now = F.current_timestamp()
         files, faces = self.table("files"), self.table("faces")
         found = stored(scan.budgeted(scan.classified(listing(self.spark, roots), files, fresh), batch_size or self.settings.batch_size), "scan")
         counts = scan.counters(found).first().asDict()
+        self._progress(job, counts)
         todo = found.where("action = 'enqueue'")
         read = todo.select(F.col("abs_path").alias("path")).mapInPandas(_contents, "path string, content binary")
         detected = stored(detect_faces(read, detector, self.codec, self.settings.max_detect_side), "detected")
+        counts["errors"] = detected.where("not ok").count()
+        self._progress(job, counts)
         good = detected.where("ok").groupBy(F.col("path").alias("abs_path")).agg(*(F.first(c).alias(c) for c in ("width", "height", "exif")))
         done = todo.join(good, "abs_path").select("abs_path", "root_id", "rel_path", F.col("size").alias("file_size"), "mtime", "width", "height", "exif")
         done = done.withColumn("file_thumb_rel", file_thumb(F.col("root_id"), F.col("rel_path")))
@@ -105,7 +137,7 @@ class Catalog:
         seen = found.select("abs_path")
         files = catalog.soft_delete_missing(catalog.touch_seen(files, seen, now), list(roots), seen)
         table = catalog.touch_root(self.table("roots"), list(roots), now)
-        counts["files_reindexed"], counts["errors"] = good.count(), detected.where("not ok").count()
+        counts["files_reindexed"] = good.count()
         self.store.commit({
             "files": files,
             "faces": faces,
@@ -137,11 +169,15 @@ class Catalog:
     def rebuild(self, k: int | None = None, threshold: float | None = None) -> dict:
         """Neighbour edges of all live faces, and the groups that they connect."""
         k, threshold = k or self.settings.group_k, self.settings.group_threshold if threshold is None else threshold
+        job = self._begin("group_rebuild")
+        with self._running(job):
+            return self._rebuild(job, k, threshold)
+
+    def _rebuild(self, job: int, k: int, threshold: float) -> dict:
         now = F.current_timestamp()
-        self.store.commit({"jobs": jobs.start(self.table("jobs"), "group_rebuild", now)})
-        job = self.table("jobs").where("job_type = 'group_rebuild' and status = 'running'").agg(F.max("id")).first()[0]
         live = search.live_faces(self.table("faces"), self.table("files"))
         edges = stored(knn.knn_edges(live, k, threshold, self.settings.block_size), "edges")
+        self._progress(job, {"edges_kept": edges.count()})
         first = (self.table("face_groups").agg(F.max("id")).first()[0] or 0) + 1
         found, members = (stored(t, n) for t, n in zip(groups.build_groups(live, edges, first), ("groups", "members")))
         counts = groups.rebuild_stats(live, edges, found, members).first().asDict()

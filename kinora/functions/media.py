@@ -52,5 +52,18 @@ def human_size(size: Column) -> Column:
     return out
 
 
-def shown_time(at: Column) -> Column:
-    return F.coalesce(F.date_format(at, "yyyy-MM-dd HH:mm:ss z"), F.lit("never"))
+def shown_time(at: Column, zone: str = "UTC") -> Column:
+    """A timestamp in the zone, with its name, ``never`` if there is none."""
+    return F.coalesce(F.concat(F.date_format(F.convert_timezone(F.current_timezone(), F.lit(zone), at.cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss"), F.lit(f" {zone}")), F.lit("never"))
+
+
+def html_escaped(text: Column) -> Column:
+    """Text that may stand in markup and in quoted attributes."""
+    for character, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(character), F.lit(entity))
+    return text
+
+
+def is_local(target: Column) -> Column:
+    """Whether a redirect to ``target`` stays on this host: a path, and not one that browsers read as another host's."""
+    return target.startswith("/") & ~F.substring(target, 2, 1).isin("/", "\\")

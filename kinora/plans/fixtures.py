@@ -119,7 +119,7 @@ MORE = {
     "chosen": "SELECT component, face_id rep_face_id FROM (SELECT component, face_id, row_number() OVER (PARTITION BY component ORDER BY coalesce(quality_score, 0) DESC, face_id) place FROM member JOIN live ON live.id = face_id) WHERE place = 1",
     "groups": "SELECT row_number() OVER (ORDER BY member_count DESC, component) id, component, rep_face_id, member_count FROM sized JOIN chosen USING (component)",
     "members": "SELECT g.id group_id, m.face_id, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) score_to_rep FROM member m JOIN groups g USING (component) JOIN live a ON a.id = m.face_id JOIN live b ON b.id = g.rep_face_id",
-    "job_edges": "SELECT CASE face_id % 3 WHEN 0 THEN (SELECT max(id) FROM fx_jobs WHERE status = 'running') WHEN 1 THEN (SELECT max(id) FROM fx_jobs WHERE status = 'done') END job_id, face_id, nbr_face_id, similarity FROM edges",
+    "job_edges": "SELECT CASE face_id % 4 WHEN 0 THEN (SELECT max(id) FROM fx_jobs WHERE status = 'running') WHEN 1 THEN (SELECT max(id) FROM fx_jobs WHERE status = 'done') WHEN 2 THEN (SELECT min(id) FROM fx_jobs WHERE status = 'running') END job_id, face_id, nbr_face_id, similarity FROM edges",
 }
 NEEDS = {
     "fx_roots": ("fx_files",), "fx_disk": ("fx_files",), "fx_faces_scaled": ("fx_faces",), "live": ("fx_faces", "fx_files"), "sims": ("live",), "edges": ("sims",), "both_ways": ("edges",),

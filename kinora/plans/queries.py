@@ -249,17 +249,26 @@ def toggle_invalidated(spark, d):
 
 
 def job_edges(spark, d):
-    latest = view(spark, d, "fx_jobs").agg(F.max(F.when(F.col("status") == "running", F.col("id"))).alias("running"), F.max(F.when(F.col("status") == "done", F.col("id"))).alias("done"))
-    of = F.when(F.col("face_id") % 3 == 0, F.col("running")).when(F.col("face_id") % 3 == 1, F.col("done"))
-    return edges(spark, d).crossJoin(F.broadcast(latest)).withColumn("job_id", of).drop("running", "done")  # one row
+    """Edges of the newest running job, of the newest done one, of an older running one, and of none."""
+    running, done = (F.when(F.col("status") == s, F.col("id")) for s in ("running", "done"))
+    some = view(spark, d, "fx_jobs").agg(F.max(running).alias("newest"), F.max(done).alias("done"), F.min(running).alias("oldest"))
+    of = F.when(F.col("face_id") % 4 == 0, F.col("newest")).when(F.col("face_id") % 4 == 1, F.col("done")).when(F.col("face_id") % 4 == 2, F.col("oldest"))
+    return edges(spark, d).crossJoin(F.broadcast(some)).withColumn("job_id", of).drop("newest", "done", "oldest")  # one row
 
 
-@query("orphan_edges_cleanup", sql("job_edges", "fx_jobs") + "SELECT job_id, face_id, nbr_face_id FROM job_edges WHERE job_id IS DISTINCT FROM -1 AND NOT coalesce(job_id NOT IN (SELECT id FROM fx_jobs WHERE status = 'running'), false)")
+def newest_running(spark, d) -> int:
+    return view(spark, d, "fx_jobs").where("status = 'running'").agg(F.max("id")).first()[0]
+
+
+_KEPT_EDGES = "SELECT job_id, face_id, nbr_face_id FROM job_edges WHERE NOT (coalesce(job_id = {own}, false) OR coalesce(job_id NOT IN (SELECT id FROM ({jobs}) WHERE status = 'running'), false))"
+
+
+@query("orphan_edges_cleanup", sql("job_edges", "fx_jobs") + _KEPT_EDGES.format(own="(SELECT max(id) FROM fx_jobs WHERE status = 'running')", jobs="SELECT * FROM fx_jobs"))
 def orphan_edges_cleanup(spark, d):
-    return catalog.without_stale_edges(job_edges(spark, d), view(spark, d, "fx_jobs"), -1).select("job_id", "face_id", "nbr_face_id")
+    return catalog.without_stale_edges(job_edges(spark, d), view(spark, d, "fx_jobs"), newest_running(spark, d)).select("job_id", "face_id", "nbr_face_id")
 
 
-@query("orphan_edges_cleanup_none_running", sql("job_edges", "fx_jobs") + "SELECT job_id, face_id, nbr_face_id FROM job_edges WHERE false")
+@query("orphan_edges_cleanup_none_running", sql("job_edges", "fx_jobs") + _KEPT_EDGES.format(own="-1", jobs="SELECT * FROM fx_jobs WHERE status <> 'running'"))
 def orphan_edges_cleanup_none_running(spark, d):
     return catalog.without_stale_edges(job_edges(spark, d), view(spark, d, "fx_jobs").where("status <> 'running'"), -1).select("job_id", "face_id", "nbr_face_id")
 
@@ -359,8 +368,28 @@ def exif_whitelist(spark, d):
     return view(spark, d, "fx_files").select("id", media.exif_shown(F.col("exif")).alias("shown"), F.size(media.exif_kept(F.col("exif"))).alias("n_kept"))
 
 
-@query("ingest_fake_detector")
+_DIGITS = "list_sum(list_transform(string_split(substr(sha256(abs_path), 1, 16), ''), lambda c: instr('123456789abcdef', c)))"
+
+
+@query("ingest_fake_detector", sql("fx_disk", "fx_files") + f"""SELECT path, true ok, CASE WHEN n > 0 THEN CAST(k AS INT) END face_index, CASE WHEN n > 0 THEN 16 END n_dims
+FROM (SELECT path, n, unnest(range(greatest(n, 1))) k FROM (SELECT abs_path path, CAST({_DIGITS} AS BIGINT) % 3 n FROM ({_DIFF}) WHERE "action" = 'enqueue'))""")
 def ingest_fake_detector(spark, d):
-    """Every enqueued file of the scan through decoding and detection; the made-up detector reads the path's bytes."""
+    """Every enqueued file of the scan through detection; the made-up detector reads the path's bytes."""
     todo = diff(spark, d).where("action = 'enqueue'").select(F.col("abs_path").alias("path"), F.col("abs_path").cast("binary").alias("content"))
-    return detect_faces(todo, FakeDetector(16))
+    return detect_faces(todo, FakeDetector(16)).select("path", "ok", "face_index", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("n_dims"))
+
+
+@query("shown_time", sql("fx_jobs") + "SELECT id, CASE WHEN finished_at IS NULL THEN 'never' ELSE strftime(make_timestamp(CAST(finished_at AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S UTC') END shown FROM fx_jobs")
+def shown_time(spark, d):
+    return view(spark, d, "fx_jobs").select("id", media.shown_time(F.timestamp_seconds("finished_at"), "UTC").alias("shown"))
+
+
+@query(
+    "html_escaped",
+    """SELECT page_id, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') shown,
+  starts_with(target, '/') AND substr(target, 2, 1) NOT IN ('/', chr(92)) local FROM (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN '/' || url ELSE '//' || url END target FROM pages)""",
+)
+def html_escaped(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    target = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("/"), "url")).otherwise(F.concat(F.lit("//"), "url"))
+    return pages.select("page_id", media.html_escaped(F.col("url")).alias("shown"), media.is_local(target).alias("local"))

@@ -1,3 +1,6 @@
+import threading
+import time
+
 import numpy as np
 import pytest
 
@@ -56,6 +59,47 @@ def test_index_rebuild_search_and_reset(spark, tmp_path):
     assert catalog.reset()["files"] == 12 and catalog.table("files").count() == 0 and catalog.list_roots().count() == 1
 
 
+class Slow(FakeDetector):
+    def detect(self, content):
+        time.sleep(60)
+
+
+class Broken(FakeDetector):
+    def load(self):
+        raise RuntimeError("no model")
+
+
+def test_a_job_can_be_stopped_and_a_failed_one_says_so(spark, tmp_path):
+    root = tmp_path / "photos"
+    root.mkdir()
+    (root / "a.png").write_bytes(png(30, 20))
+    catalog = Catalog(spark, str(tmp_path / "store"))
+    catalog.init()
+    catalog.add_root(str(root))
+    seen = []
+
+    def stop():
+        while not seen or seen[-1] is None:
+            time.sleep(1)
+            found = catalog.table("jobs").where("status = 'running' and stats like '%files_seen%'").first()
+            seen.append(found.id if found else None)
+        time.sleep(3)
+        catalog.stop(seen[-1])
+
+    other = threading.Thread(target=stop)
+    other.start()
+    began = time.time()
+    with pytest.raises(Exception, match="cancelled"):
+        catalog.index(Slow(4))
+    other.join()
+    assert time.time() - began < 55
+    with pytest.raises(Exception, match="no model"):
+        catalog.index(Broken(4))
+    table = {r.id: (r.status, "no model" in (r.error or "")) for r in catalog.table("jobs").collect()}
+    assert table == {1: ("interrupted", False), 2: ("failed", True)} and catalog.table("files").count() == 0
+    assert catalog.index(FakeDetector(4))["files_reindexed"] == 1
+
+
 class Ppm:
     """A codec for the plainest format, so that pixels can be followed through the engine."""
 
