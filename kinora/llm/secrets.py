@@ -6,7 +6,9 @@ compatible states are merged (ALERGIA, Carrasco and Oncina 1994) into a probabil
 inferred from ordinary tokens, one for each shape: whether there are letters, digits and other characters.  Every token
 of every text, a run of LEAST or more of the characters that an assigned value may have, without what base spans cover of
 it and without dots at its ends, is then scored by how much likelier the best credential format is than an ordinary token
-of its shape; those are added as spans that are MARGIN times as likely or more.
+of its shape; those are added as spans that are MARGIN times as likely or more.  Tokens that a format's automaton accepts
+and makes as much likelier than characters drawn evenly are not learned from as ordinary ones, since a corpus with many
+bare credentials would else teach their format as that of ordinary text.
 
 Defined results: null and empty texts have no spans; rows are scanned one by one, so repeated rows and ids change
 nothing; with no labelled credential in the sample nothing is added.  Offsets are code points, ends exclusive.
@@ -106,7 +108,7 @@ def classes(text: str) -> str:
 
 #: Kinds of ordinary tokens by their letters, digits and other characters.
 SHAPES = ("l", "d", "ld", "o", "lo", "do", "ldo")
-_LETTER, _DIGIT, _OTHER = re.compile("[A-Za-z]"), re.compile("[0-9]"), re.compile("[^A-Za-z0-9]")
+_LETTER, _LOWER, _UPPER, _DIGIT, _OTHER = map(re.compile, ("[A-Za-z]", "[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
 
 
 def shape(token: str) -> str:
@@ -221,6 +223,15 @@ class Automaton:
                 if x is not None:
                     todo.append((x, y))
 
+    def accepts(self, text: str) -> bool:
+        """Whether every step and the end were seen."""
+        at = 0
+        for c in classes(text):
+            if (step := self.steps[at].get(c)) is None:
+                return False
+            at = step[0]
+        return self.ends[at] > 0
+
     def log_likelihood(self, text: str) -> float:
         """Of the characters and of ending after them; what was never seen has half a count."""
         at, total = 0, 0.0
@@ -235,22 +246,33 @@ class Automaton:
         return total + math.log((self.ends[at] + 0.01) / (self.visits[at] + 0.1))
 
 
+def even(token: str) -> float:
+    """Logarithm of the likelihood of the token's characters if those of its kinds are drawn evenly."""
+    cases = 26 * (bool(_LOWER.search(token)) + bool(_UPPER.search(token)))
+    return -len(token) * math.log(cases + 10 * bool(_DIGIT.search(token)) + 6 * bool(_OTHER.search(token)))
+
+
 class Formats:
     """Automata for the credential kinds and for ordinary tokens by their shape."""
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: Iterable[str]):
+        self.kinds = {k: Automaton.infer([classes(s) for s in v]) for k, v in sorted(labelled.items()) if v}
         by: dict[str, list[str]] = {}
         for token in ordinary:
-            by.setdefault(shape(token), []).append(token)
-        self.kinds, self.ordinary = ({k: Automaton.infer([classes(s) for s in v]) for k, v in sorted(x.items()) if v} for x in (labelled, by))
-        self._unseen = Automaton.infer([])
+            if not any(a.accepts(token) and a.log_likelihood(token) - even(token) >= MARGIN for a in self.kinds.values()):
+                by.setdefault(shape(token), []).append(classes(token))
+        self.ordinary = {k: Automaton.infer(v) for k, v in sorted(by.items())}
         self._judged: dict[str, bool] = {}
 
+    def best(self, token: str) -> float:
+        return max(a.log_likelihood(token) for a in self.kinds.values())
+
     def score(self, token: str) -> float:
         """Logarithm of how much likelier the best credential format makes the token than its shape does."""
         if not self.kinds:
             return -math.inf
-        return max(a.log_likelihood(token) for a in self.kinds.values()) - self.ordinary.get(shape(token), self._unseen).log_likelihood(token)
+        known = self.ordinary.get(shape(token))
+        return self.best(token) - (known.log_likelihood(token) if known else even(token))
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
         if not self.kinds or not base and not any(map(self.likely, set(CANDIDATE.findall(text)))):
