@@ -80,19 +80,19 @@ class Catalog:
     @contextmanager
     def _running(self, job: int) -> Iterator[None]:
         """What runs inside can be stopped by its job; a job that fails or is stopped says so and changes nothing else."""
-        self.spark.addTag(f"kinora-job-{job}")
+        self.spark.sparkContext.addJobTag(f"kinora-job-{job}")
         try:
             yield
         except BaseException as e:
-            self.spark.removeTag(f"kinora-job-{job}")
+            self.spark.sparkContext.removeJobTag(f"kinora-job-{job}")
             status = "interrupted" if isinstance(e, KeyboardInterrupt) or "cancelled" in str(e) else "failed"
             self.store.commit({"jobs": jobs.finish(self.table("jobs"), job, F.current_timestamp(), status, str(e)[:1000])})
             raise
-        self.spark.removeTag(f"kinora-job-{job}")
+        self.spark.sparkContext.removeJobTag(f"kinora-job-{job}")
 
     def stop(self, job: int) -> None:
         """Cancel what a job runs in this session, from another thread."""
-        self.spark.interruptTag(f"kinora-job-{job}")
+        self.spark.sparkContext.cancelJobsWithTag(f"kinora-job-{job}")
 
     def _progress(self, job: int, counts: dict) -> None:
         self.store.commit({"jobs": jobs.with_stats(self.table("jobs"), job, json.dumps(counts))})

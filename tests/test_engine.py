@@ -62,6 +62,7 @@ def test_index_rebuild_search_and_reset(spark, tmp_path):
 class Slow(FakeDetector):
     def detect(self, content):
         time.sleep(60)
+        return []
 
 
 class Broken(FakeDetector):
