@@ -588,13 +588,15 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         discard(found, groups, least, repeated)
         return joined_by_size(docs, gone.select("doc_id"), "doc_id", "left_anti")
     single = joined_by_size(joined_by_size(docs, repeated, "doc_id", "left_anti"), gone.select("doc_id"), "doc_id", "left_anti")
-    several = _with_node(joined_by_size(docs, repeated, "doc_id", "left_semi"), size, number)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # its columns may be named as those here
+    packed = joined_by_size(docs, repeated, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), whole)
+    several = _with_node(packed, size, number)
     several = joined_by_size(several, gone.withColumnRenamed("node", "_node"), ["doc_id", "_node"], "left_anti")
     linked = stored(joined_by_size(member, repeated, "doc_id", "left_semi").select("doc_id", F.col("node").alias("_node"), F.col("component").alias("_component")), "linked")
     discard(found, groups, least)
     several = joined_by_size(several, linked, ["doc_id", "_node"], "left")
-    order = F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))
-    several = several.groupBy("doc_id", "_component", F.when(F.col("_component").isNull(), F.xxhash64("text")).alias("_text")).agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    order = F.struct(F.xxhash64("text"), F.xxhash64("row"))
+    several = several.groupBy("doc_id", "_component", F.when(F.col("_component").isNull(), F.xxhash64("text")).alias("_text")).agg(F.min_by("row", order).alias("row"))
     return single.unionByName(several.select("row.*"))
 
 
