@@ -15,12 +15,12 @@ has its own number of blocks, and a text takes part in its own band and the one
    shingles asks for.  Texts that are equal within a batch are sent once.  A key that many classes of one batch share is
    dealt over salted partitions, with its smallest class as the only one that also goes to the key's own partition.
 3. Classes that share a key are paired with the smallest of them, and all with all in groups of at most SMALL.  Larger
-   or salted groups are crowds.  A pair that shares 1 + SPARE keys, those of crowds counted as if shared, is a candidate
-   if the short sketches are close enough.
+   or salted groups are crowds.  A pair seen with 1 + SPARE keys is a candidate if the short sketches are close enough;
+   so is one seen with fewer, if a key of them is of no crowd and those of crowds, as if shared, make up the number.
 4. Each class is verified, on the whole sets, against the candidate it shares most keys with.  Sets of a partner's
    members are streamed past it, salted beyond MEMBERS of them.  Of the other candidates only those go on that are not
    connected by then.
-5. A linked pair that step 3 did not see shares 1 + SPARE keys whose groups are all crowds.  Classes in that many crowds
+5. A linked pair that step 3 left out shares 1 + SPARE keys whose groups are all crowds.  Classes in that many crowds
    which still span several components are compared with the other components of their crowds, but for each class's
    SPARE largest crowds, in which no pair shares its first, by short sketches and block by block in tasks of their own:
    first each class with its nearest, then, once those links have merged components, with all that remain near enough.
@@ -284,13 +284,14 @@ def _entries(docs: DataFrame, size: int, bands: Bands, parts: int, most: int, nu
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, salted boolean, nodes binary, keys binary, places binary")
 
 
-PAIRS = "a long, b long, shared int, crowd long"
+PAIRS = "a long, b long, shared int, plain int, crowd long"
 
 
 def _pairs(entries: DataFrame, parts: int, small: int) -> DataFrame:
-    """(a, b, shared keys) of candidate pairs, and (null, member, null, crowd) for members of groups over ``small``.
+    """(a, b, shared keys, those in no crowd) of pairs, and (null, member, null, null, crowd) for members of crowds.
 
-    One task holds the distinct entries of its partition as arrays, sixteen bytes each.
+    Crowds are groups over ``small`` or salted.  One task holds the distinct entries of its partition as arrays, sixteen
+    bytes each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +316,8 @@ def _pairs(entries: DataFrame, parts: int, small: int) -> DataFrame:
         group = np.cumsum(np.concatenate([[True], keys[1:] != keys[:-1]])) - 1
         many, dealt = np.bincount(group), np.bincount(group, weights=dealt) > 0
         first = np.cumsum(many) - many
-        a, b = [places[first[group]]], [places]
+        crowded = (many > small) | dealt
+        a, b, plain = [places[first[group]]], [places], [~crowded[group]]
         for k in range(1, small):  # the k-th member of small groups with the later ones
             of = np.flatnonzero((many > k + 1) & (many <= small))
             if not len(of):
@@ -324,16 +326,18 @@ def _pairs(entries: DataFrame, parts: int, small: int) -> DataFrame:
             lead = np.repeat(first[of] + k, rest)
             a.append(places[lead])
             b.append(places[lead + 1 + np.arange(len(lead)) - np.repeat(np.cumsum(rest) - rest, rest)])
-        a, b = np.concatenate(a), np.concatenate(b)
-        a, b = a[a != b], b[a != b]
-        pair, shared = np.unique(a * len(names) + b, return_counts=True)
-        for at in range(0, len(pair), 50_000):
-            p, n = pair[at : at + 50_000], shared[at : at + 50_000]
-            yield _rows(names[p // len(names)], names[p % len(names)], n, None)
-        crowded = np.flatnonzero(((many > small) | dealt)[group])
+            plain.append(np.repeat(~crowded[of], rest))
+        a, b, plain = (np.concatenate(x) for x in (a, b, plain))
+        for of in (plain, ~plain):
+            some = of & (a != b)
+            pair, shared = np.unique(a[some] * len(names) + b[some], return_counts=True)
+            for at in range(0, len(pair), 50_000):
+                p, n = pair[at : at + 50_000], shared[at : at + 50_000]
+                yield _rows(names[p // len(names)], names[p % len(names)], n, n if of is plain else 0 * n, None)
+        crowded = np.flatnonzero(crowded[group])
         for at in range(0, len(crowded), 50_000):
             some = crowded[at : at + 50_000]
-            yield _rows(None, names[places[some]], None, keys[some].view(np.int64))
+            yield _rows(None, names[places[some]], None, None, keys[some].view(np.int64))
 
     return entries.repartitionById(parts, F.col("part")).mapInArrow(run, PAIRS)
 
@@ -351,9 +355,9 @@ def _distinct(*entries: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.n
     return keys[new], members[new]
 
 
-def _rows(a, b: np.ndarray, shared, crowd) -> pa.RecordBatch:
-    columns = [pa.array([None] * len(b) if x is None else x, k) for x, k in zip((a, b, shared, crowd), (pa.int64(), pa.int64(), pa.int32(), pa.int64()))]
-    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "shared", "crowd"])
+def _rows(a, b: np.ndarray, shared, plain, crowd) -> pa.RecordBatch:
+    columns = [pa.array([None] * len(b) if x is None else x, k) for x, k in zip((a, b, shared, plain, crowd), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "shared", "plain", "crowd"])
 
 
 def joined_by_size(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int | None = None) -> DataFrame:
@@ -537,12 +541,16 @@ def _crowd_pairs(members: DataFrame, sketches: DataFrame, percent: int, nearest:
 
 
 def _candidates(pairs: DataFrame, crowds: DataFrame) -> DataFrame:
-    """(a, b, shared) of pairs that share 1 + SPARE keys, or may do so with the crowds that both are in."""
-    summed = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    """(a, b, shared) of pairs that share 1 + SPARE keys, or may do so with the crowds that both are in.
+
+    Pairs seen with few keys, all of crowds, are left to the comparison within crowds: texts that have but a passage in
+    common are members of many crowds, and the smallest is another one in each.
+    """
+    summed = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.sum("plain").alias("plain"))
     often = crowds.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     a, b = often.select(F.col("id").alias("a"), F.col("n").alias("_a")), often.select(F.col("id").alias("b"), F.col("n").alias("_b"))
-    doubtful = summed.where(F.col("shared") <= SPARE).join(a, "a").join(b, "b").where(F.col("shared") + F.least("_a", "_b") > SPARE)
-    return summed.where(F.col("shared") > SPARE).unionByName(doubtful.select("a", "b", "shared"))
+    doubtful = summed.where((F.col("shared") <= SPARE) & (F.col("plain") > 0)).join(a, "a").join(b, "b").where(F.col("plain") + F.least("_a", "_b") > SPARE)
+    return summed.where(F.col("shared") > SPARE).unionByName(doubtful.select(*summed.columns)).select("a", "b", "shared")
 
 
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:

@@ -124,6 +124,26 @@ def test_a_crowd_of_copies_and_a_very_long_text(spark):
     assert sorted(map(tuple, similar.similar_groups(docs, hot=8).collect()), key=str) == brute(rows, 5, 80)
 
 
+def test_a_common_passage_makes_fewer_pairs_than_texts(spark, monkeypatch):
+    """Texts that share a passage and little else; some are near copies of others."""
+    rng, counts, stored = random.Random(5), {}, similar.stored
+
+    def counted(df, name, **options):
+        out = stored(df, name, **options)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(similar, "stored", counted)
+    line = [f"line{k}" for k in range(30)]
+    texts = [line + [f"w{rng.randrange(10**6)}" for _ in range(20)] for _ in range(400)]
+    texts += [[*texts[9 * k][:-1], "other"] for k in range(30)]
+    texts += [["one", *texts[400 + k][1:]] for k in range(15)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, similar.similar_groups(docs).collect()), key=str) == brute(rows, 5, 80)
+    assert counts["crowds"] > len(rows) and counts["pairs"] < len(rows)
+
+
 def test_short_sketches_fold():
     rng = np.random.default_rng(4)
     for n in (20, 40, 3000):
