@@ -40,9 +40,14 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(first, last - first)
         first = last
+    release()
+
+
+def release() -> None:
+    """Give unused memory back: Python workers live on between tasks and stages; what they hold counts."""
     pa.default_memory_pool().release_unused()
     if _libc is not None:
-        _libc.malloc_trim(0)  # Python workers live on between tasks and stages; what they hold counts
+        _libc.malloc_trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

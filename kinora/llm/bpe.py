@@ -27,10 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kinora.llm.batches import code_points, mix64, record, text_slices, texts_of
+from kinora.llm.batches import code_points, mix64, record, release, text_slices, texts_of
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
-#: What one worker remembers: pieces (beyond that only a fourth is kept) and windows. Forgetting costs time, no result.
+#: What one task remembers: pieces (beyond that only a fourth is kept) and windows. Forgetting costs time, no result.
+#: A worker forgets all when the task ends, as it lives on for other stages.
 PIECES, WINDOWS = 1_500_000, 200_000
 #: Pieces of up to so many characters are found by their hash.
 SHORT = 64
@@ -314,27 +315,19 @@ def _shared(docs: DataFrame, ranks_path: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-_loaded: dict[int, Bpe] = {}
-
-
-def _encoder(table) -> Bpe:
-    if (key := hash(table.value)) not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Bpe.parse(table.value)
-    return _loaded[key]
-
-
 def encode(docs: DataFrame, ranks_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, token_ids array<int>) for every row of ``docs``.  The rank file (a fixed vocabulary) is broadcast."""
     table = _shared(docs, ranks_path)
     kept = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _encoder(table)
+        bpe = Bpe.parse(table.value)
         for batch in batches:
             for part in text_slices(batch, limit=STEP_BYTES):
                 ids, offsets = bpe.encode_batch(texts_of(part))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))], names=["doc_id", "token_ids"])
+        del bpe
+        release()
 
     return kept.mapInArrow(run, "doc_id long, token_ids array<int>")
 
@@ -344,11 +337,13 @@ def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
     table = _shared(tokens, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _encoder(table)
+        bpe = Bpe.parse(table.value)
         for batch in batches:
             lists = batch.column("token_ids").to_pylist()
             data = [None if x is None else bpe.decode_batch(np.array(x, dtype=np.int64), np.array([0, len(x)]))[0] for x in lists]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], names=["doc_id", "text"])
+        del bpe
+        release()
 
     return tokens.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, text binary")
 
@@ -360,7 +355,7 @@ def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _encoder(table)
+        bpe = Bpe.parse(table.value)
         for batch in batches:
             for part in text_slices(batch, limit=STEP_BYTES):
                 ids, offsets = bpe.encode_batch(texts_of(part))
@@ -369,5 +364,7 @@ def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
                 decoded = [hashlib.sha256(x).hexdigest() for x in bpe.decode_batch(ids, offsets)]
                 tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield record(schema, part.column("doc_id"), np.diff(offsets), tokens, coded, decoded)
+        del bpe
+        release()
 
     return kept.mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string")

@@ -1,8 +1,10 @@
 import base64
+import gc
 import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -89,3 +91,15 @@ def test_pieces_that_share_a_hash(table, independent, monkeypatch):
         for _ in range(2):
             ids, ends = encoder.encode_batch(part)
             assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [independent.encode_ordinary(x) for x in part]
+
+
+def test_workers_hold_no_encoder_after_their_task(spark):
+    docs = spark.createDataFrame([(k, "some text " * k) for k in range(40)], "doc_id long, text string").repartition(4)
+    path = P.path("byte_bpe_50k.tiktoken")
+    assert bpe.decode(bpe.encode(docs, path), path).count() == bpe.round_trip(docs, path).where("n_tokens >= 0").count() == 40
+
+    def held(batches):
+        for batch in batches:
+            yield batch.set_column(0, "id", pa.array([sum(type(x).__name__ == "Bpe" for x in gc.get_objects())] * batch.num_rows))
+
+    assert {r.id for r in spark.range(0, 80, 1, 8).mapInArrow(held, "id long").collect()} == {0}
