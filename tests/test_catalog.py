@@ -1,6 +1,8 @@
 import os
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +45,67 @@ def test_knn_does_not_depend_on_blocks(spark, k):
     assert {(r.face_id, r.nbr_face_id) for r in knn.knn_edges_by_window(faces(spark, x), k, 0.4).collect()} == want
 
 
+def ranked(x, k, threshold):
+    """{(face, neighbour): similarity} with products added up in the order of components and NaN before all else."""
+    x, out = x.astype(float), {}
+    with np.errstate(over="ignore", invalid="ignore"):
+        sims = sum((x[:, c : c + 1] * x[:, c] for c in range(x.shape[1])), np.zeros((len(x), len(x))))
+    for q in range(len(x)):
+        best = np.lexsort((np.arange(len(x)), -sims[q], ~np.isnan(sims[q])))[:k]
+        out |= {(q, int(n)): sims[q, n] for n in best if n != q and not sims[q, n] < threshold}
+    return out
+
+
+def by_stripes(x, k, threshold, stripes):
+    at, ids = np.random.default_rng(3).integers(0, stripes, len(x)), np.random.default_rng(4).permutation(len(x))
+    lists = []
+    for i, j in [(i, j) for i in range(stripes) for j in range(i, stripes)]:
+        some = ids[(at[ids] == i) | (at[ids] == j)]
+        table = pa.table({"id": some, "embedding": pa.array(list(x[some])), "stripe": at[some], "i": np.full(len(some), i), "j": np.full(len(some), j)})
+        lists.append(knn._both_ways(table, k, threshold))
+    batches = knn._merged(iter(pa.concat_tables(lists).to_batches()), k)
+    return {(f, n): v for b in batches for f, n, v in zip(*[c.to_pylist() for c in b.columns])}
+
+
+def test_knn_sends_a_vector_a_fixed_number_of_times():
+    assert [knn.stripes_of(n, 64, 2048) for n in (0, 2000, 10_000, 87_000, 520_000, 1_000_000)] == [1, 1, 5, 16, 16, 16]
+    assert knn.stripes_of(4_000_000, 64, 2048) * knn.STRIPE_BYTES >= 4_000_000 * 256  # two stripes fit a task
+
+
+@pytest.mark.parametrize("k, threshold", [(1, 0.4), (3, -1e9), (20, 0.4), (200, 0.0)])
+def test_knn_equals_brute_force_on_odd_vectors(monkeypatch, k, threshold):
+    random = np.random.default_rng(0)
+    x = random.standard_normal((180, 16))
+    copies, odd, near = x.astype(np.float32), x.copy(), x[0] + 1e-7 * x
+    copies[50:90], copies[90:140] = copies[5], copies[6]
+    odd[3], odd[4], odd[5, 2], odd[6, 1], odd[7] = 1e200, -1e200, np.nan, np.inf, 0
+    odd[8] *= 1e-30
+    for v in (copies, odd, near, near.astype(np.float32), np.round(x), np.eye(16)[random.integers(0, 16, 180)]):
+        want = ranked(v, k, threshold)
+        for tile, stripes, found, again in (((256, 2048), 1, 1 << 20, 1 << 16), ((16, 32), 3, 50, 20), ((7, 13), 2, 1000, 1)):
+            for name, value in (("TILE", tile), ("FOUND", found), ("AGAIN", again)):
+                monkeypatch.setattr(knn, name, value)
+            got = by_stripes(v, k, threshold, stripes)
+            assert got.keys() == want.keys()
+            np.testing.assert_array_equal([got[p] for p in want], list(want.values()))
+
+
+def test_knn_gives_the_bits_of_sql(spark):
+    x = np.random.default_rng(2).standard_normal((300, 64)).astype(np.float32)
+    want = ranked(x, 20, 0.4)
+    for size in (40, 2048):
+        assert {(r.face_id, r.nbr_face_id): r.similarity for r in knn.knn_edges(faces(spark, x), 20, 0.4, size).collect()} == want
+    t = pa.table({"id": np.arange(300), "v": pa.array(list(x))})
+    sql = duckdb.sql("SELECT a.id, b.id, list_inner_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) FROM t a, t b").fetchall()
+    assert want.items() <= {(q, n): s for q, n, s in sql}.items() and len(t) == 300
+
+
+def test_knn_refuses_vectors_of_different_lengths(spark):
+    ragged = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0, 0.0]), (3, None)], "id long, embedding array<float>")
+    with pytest.raises(ValueError, match="2 to 4 components"):
+        knn.knn_edges(ragged, 3, 0.1)
+
+
 def test_knn_of_few_faces(spark):
     assert knn.knn_edges(faces(spark, np.zeros((0, 3))), 5, 0.1).count() == 0
     assert knn.knn_edges(faces(spark, np.ones((1, 3))), 5, 0.1).count() == 0
